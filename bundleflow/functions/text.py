@@ -101,7 +101,7 @@ def _latin_words(folded: Column) -> Column:
 
 
 def _or_raw(key: Column, original: Column) -> Column:
-    return F.when(is_empty_name(original), "").when(key == "", raw_key(original)).otherwise(key)
+    return F.when(is_empty_name(original), "").otherwise(F.coalesce(blank_to_null(key), raw_key(original)))
 
 
 def normalize_name(x) -> Column:
@@ -193,17 +193,15 @@ def _strip_chars(x: Column, cls: str) -> Column:
     return F.regexp_replace(x, f"^[{cls}]+|[{cls}]+$", "")
 
 
-def _or_fallback(safe: Column, original: Column, fallback) -> Column:
-    fb = F.lit(fallback) if isinstance(fallback, str) else fallback
-    blank = original.isNull() | (strip(original) == "")
-    return F.when(blank | (safe == ""), fb).otherwise(safe)
+def _or_fallback(safe: Column, fallback) -> Column:
+    """A blank or missing text cleans to nothing and takes the fallback."""
+    return F.coalesce(blank_to_null(safe), F.lit(fallback) if isinstance(fallback, str) else fallback)
 
 
 def sanitize_result(x, fallback) -> Column:
     """Part of an output file name."""
-    x = _c(x)
     safe = _strip_chars(F.regexp_replace(strip(x), "[^A-Za-z0-9._-]+", "_"), "_.")
-    return _or_fallback(F.substring(safe, 1, lx.NAME_LIMIT), x, fallback)
+    return _or_fallback(F.substring(safe, 1, lx.NAME_LIMIT), fallback)
 
 
 def _squeeze(x: Column) -> Column:
@@ -212,19 +210,17 @@ def _squeeze(x: Column) -> Column:
 
 
 def sanitize_folder(x, fallback) -> Column:
-    x = _c(x)
-    return _or_fallback(F.substring(_squeeze(strip(x)), 1, lx.NAME_LIMIT), x, fallback)
+    return _or_fallback(F.substring(_squeeze(strip(x)), 1, lx.NAME_LIMIT), fallback)
 
 
 def file_suffix(x) -> Column:
     """Last extension of a path, with its dot; empty when there is none."""
-    return F.regexp_extract(_c(x), r"[^/](\.[^./]+)$", 1)
+    return F.regexp_extract(_c(x), r"[^/](\.[^./]+)/*$", 1)
 
 
 def file_stem(x) -> Column:
-    base = base_name(x)
-    suffix = file_suffix(base)
-    return F.substring(base, F.lit(1), F.length(base) - F.length(suffix))
+    """File name without its last extension; a leading dot starts no extension."""
+    return F.regexp_extract(_c(x), r"(?:^|/)([^/]+?)(?:\.[^./]+)?/*$", 1)
 
 
 def base_name(x) -> Column:
@@ -233,22 +229,18 @@ def base_name(x) -> Column:
 
 def sanitize_file(x, fallback) -> Column:
     """File name with its extension kept and only the stem shortened."""
-    x = _c(x)
     fb = F.lit(fallback) if isinstance(fallback, str) else fallback
     raw = strip(x)
-    suffix = file_suffix(raw)
-    suffix = F.when(suffix.rlike(r"^\.[A-Za-z0-9]{1,10}$"), suffix).otherwise("")
-    stem = _squeeze(F.substring(raw, F.lit(1), F.length(raw) - F.length(suffix)))
-    stem = F.when(stem == "", F.coalesce(blank_to_null(file_stem(fb)), F.lit("file"))).otherwise(stem)
+    suffix = F.regexp_extract(raw, r"[^/](\.[A-Za-z0-9]{1,10})$", 1)
+    stem = _squeeze(F.regexp_replace(raw, r"(?<=[^/])\.[A-Za-z0-9]{1,10}$", ""))
+    stem = F.coalesce(blank_to_null(stem), blank_to_null(file_stem(fb)), F.lit("file"))
     keep = F.greatest(F.lit(1), F.lit(lx.NAME_LIMIT) - F.length(suffix))
-    name = F.concat(F.substring(stem, F.lit(1), keep), suffix)
-    return F.when(x.isNull() | (raw == ""), fb).otherwise(name)
+    return F.when(raw != "", F.concat(F.substring(stem, F.lit(1), keep), suffix)).otherwise(fb)
 
 
 def sanitize_path_part(x) -> Column:
-    x = _c(x)
     return F.regexp_replace(
-        strip(F.when(x.isNull() | (x == ""), "unknown").otherwise(x)), r'[<>:"/\\|?*]', "_")
+        strip(F.coalesce(blank_to_null(x), F.lit("unknown"))), r'[<>:"/\\|?*]', "_")
 
 
 def sanitize_attachment(x, subject) -> Column:
@@ -348,17 +340,26 @@ def report_name(prefix: str, date_dir, run_root) -> Column:
 
 
 # --- model text -------------------------------------------------------------
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` worked out once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def clean_translation(raw, source) -> Column:
     """Strip labels, quotes and an added full stop from a translation."""
-    raw, source = _c(raw), _c(source)
-    t = strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
-    t = strip(F.regexp_replace(
-        t, r"(?iU)^(translation|translated( text| name)?|english( translation)?)\s*[:\-]\s*", ""))
-    quoted = t.rlike(r"""(?s)^(['"]).*\1$""") & (F.length(t) >= 2)
-    t = F.when(quoted, strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    stop = F.endswith(t, F.lit(".")) & ~F.endswith(source, F.lit("."))
-    t = F.when(stop, strip(F.regexp_replace(t, r"\.+$", ""))).otherwise(t)
-    return F.coalesce(blank_to_null(t), source)
+    source = _c(source)
+    label = r"(?iU)^(translation|translated( text| name)?|english( translation)?)\s*[:\-]\s*"
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(_c(raw), r"(?s)<think>.*?</think>", "")), label, ""))
+
+    def unquote(t):
+        return F.when(t.rlike(r"""(?s)^(['"]).*\1$""") & (F.length(t) >= 2),
+                      strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    def unstop(t):
+        return F.when(F.endswith(t, F.lit(".")) & ~F.endswith(source, F.lit(".")),
+                      strip(F.regexp_replace(t, r"\.+$", ""))).otherwise(t)
+
+    return F.coalesce(blank_to_null(_let(_let(bare, unquote), unstop)), source)
 
 
 # --- page lists -------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text
 from .naming import unique_names
+from .scale import cut_lineage
 
 
 def attachment_type(name) -> Column:
@@ -80,9 +81,9 @@ def pair_attachments(attachments: DataFrame) -> DataFrame:
     a join on (message, stem) against one row per stem; no pairs of files arise.
     """
     stem = F.regexp_replace(F.lower(text.file_stem("file_name")), "[^a-z0-9]", "")
-    files = attachments.select(
+    files = cut_lineage(attachments.select(  # names only; read by every step below
         "message_id", "att_ord", "file_name", F.coalesce("rel_dir", F.lit("")).alias("rel_dir"),
-        attachment_type("file_name").alias("kind"), stem.alias("stem"))
+        attachment_type("file_name").alias("kind"), stem.alias("stem")))
     nested = files.where(F.col("rel_dir") != "").withColumn(
         "group_name", text.sanitize_folder(F.replace("rel_dir", F.lit("/"), F.lit("_")), "group"))
     top = files.where(F.col("rel_dir") == "")

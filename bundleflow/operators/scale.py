@@ -54,7 +54,9 @@ def running_total(df: DataFrame, value: Column, order: str, out: str,
     of those, which covers the 63 bits; block sums combine before the shuffle.
     """
     keys = list(keys)
-    work = df.withColumn("_v", value).withColumn("_b0", F.shiftright(F.col(order).cast("long"), BLOCK_BITS))
+    # every level reads the rows again, so they are stored once
+    work = cut_lineage(df.withColumn("_v", value)).withColumn(
+        "_b0", F.shiftright(F.col(order).cast("long"), BLOCK_BITS))
 
     def exclusive(part: list[str], by: list[str], col: str) -> Column:
         w = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
