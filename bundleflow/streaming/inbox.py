@@ -67,22 +67,25 @@ class DayCounter:
     start and replaces its own row.
     """
 
-    def __init__(self, spark: SparkSession, out: str):
-        self.spark, self.out = spark, out
+    def __init__(self, out: str):
+        self.out = out
 
-    def _rows(self) -> DataFrame:
+    def _rows(self, spark: SparkSession) -> DataFrame:
         try:
-            stored = self.spark.read.schema(COUNTER_SCHEMA).parquet(table_path(self.out, "_day_counter"))
+            stored = spark.read.schema(COUNTER_SCHEMA).parquet(table_path(self.out, "_day_counter"))
         except Exception as e:  # first run: nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            stored = self.spark.createDataFrame([], COUNTER_SCHEMA)
+            stored = spark.createDataFrame([], COUNTER_SCHEMA)
         return stored
 
-    def start(self, run_date: str, batch_id: int) -> Column:
-        """Scalar column with the first number of this run."""
+    def start(self, spark: SparkSession, run_date: str, batch_id: int) -> Column:
+        """Scalar column with the first number of this run.
+
+        A micro-batch runs in a session of its own; pass that one.
+        """
         day = F.lit(run_date).cast("date")
-        earlier = self._rows().where((F.col("run_date") == day) & (F.col("stream_batch") < batch_id))
+        earlier = self._rows(spark).where((F.col("run_date") == day) & (F.col("stream_batch") < batch_id))
         return earlier.agg((F.coalesce(F.sum("invoices"), F.lit(0)) + 1).alias("n")).scalar()
 
     def record(self, batches: DataFrame, run_date: str, batch_id: int) -> None:
