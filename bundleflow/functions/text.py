@@ -25,6 +25,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` worked out once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 # --- whitespace, nulls ------------------------------------------------------
 def strip(x) -> Column:
     return F.regexp_replace(_c(x), f"(?U)^{_WS}+|{_WS}+$", "")
@@ -303,9 +308,14 @@ _MAIL_DATE = (r"^\s*(?:[A-Za-z]+,)?\s*(\d{1,2})[\s-]+([A-Za-z]{3})[a-z]*[\s-]+(\
 def date_to_iso(x) -> Column:
     """RFC-2822 date as ISO text with its own offset; unreadable dates stay as they are."""
     x = _c(x)
+    # one pass of the pattern; a text it does not match stays in one piece
+    parts = F.split(F.regexp_replace(x, _MAIL_DATE, "$1|$2|$3|$4|$5|$6|$7"), r"\|", -1)
+    return F.when(x.isNull(), "").otherwise(let(parts, lambda p: F.coalesce(_iso_from_parts(p), x)))
+
 
+def _iso_from_parts(parts: Column) -> Column:
     def part(i):
-        return F.regexp_extract(x, _MAIL_DATE, i)
+        return F.try_element_at(parts, F.lit(i))
 
     month = F.lpad(((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(part(2))) + 2) / 3)
                    .cast("int").cast("string"), 2, "0")
@@ -316,8 +326,8 @@ def date_to_iso(x) -> Column:
               .otherwise("+00:00"))
     local = F.concat(part(3), F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"),
                      F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), second)
-    readable = x.rlike(_MAIL_DATE) & F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
-    return F.when(x.isNull(), "").when(readable, F.concat(local, offset)).otherwise(x)
+    readable = (F.size(parts) == 7) & F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
+    return F.when(readable, F.concat(local, offset))
 
 
 def iso_to_timestamp(x) -> Column:
@@ -340,11 +350,6 @@ def report_name(prefix: str, date_dir, run_root) -> Column:
 
 
 # --- model text -------------------------------------------------------------
-def _let(x: Column, body) -> Column:
-    """``body(x)`` with ``x`` worked out once."""
-    return F.element_at(F.transform(F.array(x), body), 1)
-
-
 def clean_translation(raw, source) -> Column:
     """Strip labels, quotes and an added full stop from a translation."""
     source = _c(source)
@@ -359,7 +364,7 @@ def clean_translation(raw, source) -> Column:
         return F.when(F.endswith(t, F.lit(".")) & ~F.endswith(source, F.lit(".")),
                       strip(F.regexp_replace(t, r"\.+$", ""))).otherwise(t)
 
-    return F.coalesce(blank_to_null(_let(_let(bare, unquote), unstop)), source)
+    return F.coalesce(blank_to_null(let(let(bare, unquote), unstop)), source)
 
 
 # --- page lists -------------------------------------------------------------

@@ -25,32 +25,41 @@ def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> D
     """
     single = (workbooks.where(~F.startswith(text.base_name("workbook"), F.lit("~$")))
               .groupBy("folder").agg(F.count(F.lit(1)).alias("n_books"), F.min("workbook").alias("workbook")))
-    filled = (cells.withColumn("v", text.strip("value")).where(F.col("v") != "")
-              .join(single.where(F.col("n_books") == 1).select("folder", "workbook"), ["folder", "workbook"])
-              .select("folder", "sheet_idx", "sheet_name", "v"))
-    wanted = targets.select(
-        "pdf_id", "folder", text.pure_digit_key("invoice_number").alias("digits"),
-        text.ascii_alnum("invoice_number").alias("norm"))
-
-    sheet = ["folder", "sheet_idx", "sheet_name"]
-    digit_keys = wanted.where(F.col("digits").isNotNull()).select("folder", F.col("digits").alias("k"), "pdf_id")
-    runs = filled.select(*sheet, F.explode(text.digit_runs("v")).alias("k")).distinct()
-    by_digits = runs.join(digit_keys, ["folder", "k"]).select("pdf_id", *sheet)
-
-    mixed = wanted.where(F.col("digits").isNull() & (F.col("norm") != "")).select("pdf_id", "folder", "norm")
-    norms = filled.select(*sheet, text.ascii_alnum("v").alias("c")).distinct()
-    # the cell is part of the number
-    parts = mixed.select("pdf_id", "folder", F.explode(substrings("norm")).alias("c"))
-    cell_in = norms.join(parts, ["folder", "c"]).select("pdf_id", *sheet)
-    # the number is part of the cell: cut the cell at the lengths its folder looks for
-    lengths = mixed.select("folder", F.length("norm").alias("n")).distinct()
-    cuts = (norms.join(lengths, "folder").where(F.length("c") >= F.col("n"))
-            .select(*sheet, F.explode(F.transform(
-                F.sequence(F.lit(1), F.length("c") - F.col("n") + 1),
-                lambda i: F.substring(F.col("c"), i, F.col("n")))).alias("norm")).distinct())
-    num_in = cuts.join(mixed, ["folder", "norm"]).select("pdf_id", *sheet)
-
-    hits = by_digits.unionByName(cell_in).unionByName(num_in).distinct()
+    digits, norm = F.col("digits"), F.col("norm")
+    wanted = (targets.select("pdf_id", "folder", text.pure_digit_key("invoice_number").alias("digits"),
+                             text.ascii_alnum("invoice_number").alias("norm"))
+              .withColumn("norm", F.when(digits.isNull() & (norm != ""), norm)))
+
+    # What a folder looks for decides which keys its cells must offer: digit runs
+    # ("d"), the whole cell ("c", a part of the number), and pieces of the cell as long
+    # as a number ("n").
+    looks = wanted.groupBy("folder").agg(F.count_if(digits.isNotNull()).alias("n_digits"),
+                                         F.collect_set(F.length("norm")).alias("lengths"))
+    open_ = (single.where(F.col("n_books") == 1).join(looks, "folder")
+             .select("folder", "workbook", "n_digits", "lengths"))
+    none = F.array().cast("array<string>")
+
+    def tagged(letter, values):
+        return F.transform(values, lambda v: F.concat(F.lit(letter), v))
+
+    def pieces(cell, n):
+        at = F.sequence(F.lit(1), F.length(cell) - n + 1)
+        return F.when(F.length(cell) >= n, F.transform(at, lambda i: F.substring(cell, i, n))).otherwise(none)
+
+    v, c, lengths = F.col("v"), F.col("c"), F.col("lengths")
+    keys = F.concat(
+        F.when(F.col("n_digits") > 0, tagged("d", text.digit_runs(v))).otherwise(none),
+        F.when(F.size(lengths) > 0, F.concat(
+            F.array(F.concat(F.lit("c"), c)),
+            tagged("n", F.flatten(F.transform(lengths, lambda n: pieces(c, n)))))).otherwise(none))
+    offered = (cells.join(open_, ["folder", "workbook"])
+               .withColumn("v", text.strip("value")).where(v != "").withColumn("c", text.ascii_alnum("v"))
+               .select("folder", "sheet_idx", "sheet_name", F.explode(F.array_distinct(keys)).alias("k")).distinct())
+    asked = wanted.select("pdf_id", "folder", F.explode(F.concat(
+        F.when(digits.isNotNull(), F.array(F.concat(F.lit("d"), digits))).otherwise(none),
+        F.when(norm.isNotNull(), F.concat(F.array(F.concat(F.lit("n"), norm)), tagged("c", substrings("norm"))))
+        .otherwise(none))).alias("k"))
+    hits = offered.join(asked, ["folder", "k"]).select("pdf_id", "sheet_idx", "sheet_name").distinct()
     best = hits.groupBy("pdf_id").agg(F.max_by("sheet_name", "sheet_idx").alias("sheet_name"),
                                       F.count(F.lit(1)).alias("n_candidates"))
     out = targets.select("pdf_id", "folder").join(single, "folder", "left").join(best, "pdf_id", "left")

@@ -47,11 +47,11 @@ def joined_text(*parts) -> Column:
 
 
 def is_telecom(x) -> Column:
-    return contains_any(text.tag_text(x), TELECOM)
+    return text.let(text.tag_text(x), lambda t: contains_any(t, TELECOM))
 
 
 def is_utility(x) -> Column:
-    return contains_any(text.tag_text(x), UTILITY)
+    return text.let(text.tag_text(x), lambda t: contains_any(t, UTILITY))
 
 
 def is_direct_debit(subject, body) -> Column:
@@ -66,20 +66,17 @@ def tag_array(telecom, utility, debit) -> Column:
 
 def message_flags(messages: DataFrame, key: str) -> DataFrame:
     """One row per message: what its text says, and its opening characters."""
-    m = messages.select(F.col(key), joined_text("subject", "body").alias("_text"))
-    return m.select(key, contains_any(F.col("_text"), TELECOM).alias("m_telecom"),
-                    contains_any(F.col("_text"), UTILITY).alias("m_utility"),
-                    contains_any(F.col("_text"), DIRECT_DEBIT).alias("m_debit"),
-                    F.substring("_text", 1, _REACH).alias("m_head"))
+    found = text.let(joined_text("subject", "body"), lambda t: F.struct(
+        contains_any(t, TELECOM).alias("m_telecom"), contains_any(t, UTILITY).alias("m_utility"),
+        contains_any(t, DIRECT_DEBIT).alias("m_debit"), F.substring(t, 1, _REACH).alias("m_head")))
+    return messages.select(F.col(key), found.alias("m")).select(key, "m.*")
 
 
 def derive_tags(documents: DataFrame, messages: DataFrame, key: str) -> DataFrame:
     """Add ``tags``; documents without a message rely on their names alone."""
     joined = documents.join(message_flags(messages, key), key, "left")
-    own = joined_text("supplier_name", "bill_to")
-    seam = joined_text(own, "m_head")
-    telecom = contains_any(F.col("_seam"), TELECOM) | F.coalesce("m_telecom", F.lit(False))
-    utility = contains_any(F.col("_seam"), UTILITY) | F.coalesce("m_utility", F.lit(False))
-    debit = F.coalesce("m_debit", F.lit(False))
-    return (joined.withColumn("_seam", seam).withColumn("tags", tag_array(telecom, utility, debit))
-            .drop("_seam", "m_telecom", "m_utility", "m_debit", "m_head"))
+    no = F.lit(False)
+    tags = text.let(joined_text("supplier_name", "bill_to", "m_head"), lambda t: tag_array(
+        contains_any(t, TELECOM) | F.coalesce("m_telecom", no), contains_any(t, UTILITY) | F.coalesce("m_utility", no),
+        F.coalesce("m_debit", no)))
+    return joined.withColumn("tags", tags).drop("m_telecom", "m_utility", "m_debit", "m_head")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text
 from ..operators import match, reference, routing, tagging
+from ..operators.scale import cut_lineage
 from . import oracles as O
 from . import projections as P
 from .registry import query
@@ -158,7 +159,8 @@ _BILL_KEYS = {
 @query(O.ctes(**_BILL_KEYS) + """
 SELECT bill_to, n_docs, key, original, le, source_site FROM nk JOIN one ON key = one.norm JOIN ents USING (ref_ord)""")
 def exact_match(sql):
-    names = _counted(sql(P.BILL_TO), "bill_to").withColumn("key", text.normalize_entity("bill_to"))
+    # keys are worked out once per distinct name, before the join can reach below
+    names = cut_lineage(_counted(sql(P.BILL_TO), "bill_to").withColumn("key", text.normalize_entity("bill_to")))
     ref = reference.entity_reference(sql(P.ENTITIES))
     first = ref.groupBy("norm").agg(F.min_by(F.struct("original", "le", "source_site"), "ref_ord").alias("e"))
     return (names.join(first.withColumnRenamed("norm", "key"), "key")

@@ -91,7 +91,7 @@ def enrich(docs: DataFrame, messages: DataFrame, refs: References) -> DataFrame:
                      "sensitive_translated": False, "le_matched": False, "le_score": 0, "le_method": "empty",
                      "le_translated": False}))
     routed = routing.route(tagging.derive_tags(both, messages, "folder"), refs.routing)
-    renamed = rename_for_vn(cut_lineage(name_outputs(routed)), refs)
+    renamed = rename_for_vn(name_outputs(cut_lineage(routed)), refs)
     return routing.review_reasons(renamed)
 
 

@@ -16,6 +16,9 @@ _ROWS = ("message_id string, att_ord int, archive string, seq int, depth int, re
          "member string, unsafe boolean, content binary, reason string")
 
 
+_FLUSH_BYTES = 16 << 20  # bytes of members per output batch
+
+
 def _members(data: bytes, name: str, folder: str, depth: int, limit: int, skip: tuple):
     """Yield ``(depth, folder, member, unsafe, content, reason)`` of one archive."""
     if depth >= limit:
@@ -63,14 +66,21 @@ def _expand(limit: int, skip: tuple):
         ("depth", pa.int32()), ("rel_dir", pa.string()), ("member", pa.string()), ("unsafe", pa.bool_()),
         ("content", pa.binary()), ("reason", pa.string())])
 
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches):
         for batch in batches:
+            rows, size = [], 0
             for a in batch.to_pylist():
-                rows = _members(a["content"], a["file_name"], "", 0, limit, skip)
-                for seq, row in enumerate(rows):
-                    values = [a["message_id"], a["att_ord"], a["file_name"], seq, *row]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+                for seq, row in enumerate(_members(a["content"], a["file_name"], "", 0, limit, skip)):
+                    rows.append((a["message_id"], a["att_ord"], a["file_name"], seq, *row))
+                    size += len(row[4] or b"")
+                    if size > _FLUSH_BYTES:
+                        yield table(rows)
+                        rows, size = [], 0
+            if rows:
+                yield table(rows)
     return run
 
 

@@ -16,6 +16,9 @@ _PARSED = ("path string, subject string, sender string, date string, body string
            "attachments array<struct<att_ord:int,file_name:string,content:binary>>")
 
 
+_FLUSH_BYTES = 16 << 20  # bytes of mail per output batch
+
+
 def _content(part) -> str:
     try:
         return part.get_content()
@@ -51,8 +54,16 @@ def _parse(batches):
         ("attachments", pa.list_(pa.struct([("att_ord", pa.int32()), ("file_name", pa.string()),
                                             ("content", pa.binary())])))])
     for batch in batches:
-        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            yield pa.RecordBatch.from_pylist([_read_one(path, raw)], schema=schema)
+        rows, size = [], 0
+        for path, raw in zip(batch.column("path"), batch.column("content")):
+            raw = raw.as_py()
+            rows.append(_read_one(path.as_py(), raw))
+            size += len(raw)
+            if size > _FLUSH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def read_mail_files(spark: SparkSession, root: str) -> DataFrame:
