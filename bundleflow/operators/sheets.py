@@ -46,15 +46,20 @@ def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> D
         at = F.sequence(F.lit(1), F.length(cell) - n + 1)
         return F.when(F.length(cell) >= n, F.transform(at, lambda i: F.substring(cell, i, n))).otherwise(none)
 
-    v, c, lengths = F.col("v"), F.col("c"), F.col("lengths")
-    keys = F.concat(
-        F.when(F.col("n_digits") > 0, tagged("d", text.digit_runs(v))).otherwise(none),
-        F.when(F.size(lengths) > 0, F.concat(
-            F.array(F.concat(F.lit("c"), c)),
-            tagged("n", F.flatten(F.transform(lengths, lambda n: pieces(c, n)))))).otherwise(none))
+    lengths = F.col("lengths")
+
+    def whole_and_pieces(c):
+        cut = F.flatten(F.transform(lengths, lambda n: pieces(c, n)))
+        return F.concat(F.array(F.concat(F.lit("c"), c)), tagged("n", cut))
+
+    def keys(v):
+        digits_ = F.when(F.col("n_digits") > 0, tagged("d", text.digit_runs(v))).otherwise(none)
+        other = F.when(F.size(lengths) > 0, text.let(text.ascii_alnum(v), whole_and_pieces)).otherwise(none)
+        return F.when(v != "", F.concat(digits_, other)).otherwise(none)
+
     offered = (cells.join(open_, ["folder", "workbook"])
-               .withColumn("v", text.strip("value")).where(v != "").withColumn("c", text.ascii_alnum("v"))
-               .select("folder", "sheet_idx", "sheet_name", F.explode(F.array_distinct(keys)).alias("k")).distinct())
+               .select("folder", "sheet_idx", "sheet_name",
+                       F.explode(text.let(text.strip("value"), keys)).alias("k")).distinct())
     asked = wanted.select("pdf_id", "folder", F.explode(F.concat(
         F.when(digits.isNotNull(), F.array(F.concat(F.lit("d"), digits))).otherwise(none),
         F.when(norm.isNotNull(), F.concat(F.array(F.concat(F.lit("n"), norm)), tagged("c", substrings("norm"))))

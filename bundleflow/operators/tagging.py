@@ -10,10 +10,10 @@ into the message.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import lexicon as lx
 from ..functions import text
@@ -35,10 +35,23 @@ DIRECT_DEBIT = ["direct debit"]  # the other fixed term is upper case and never
 _REACH = max(map(len, (t.lower() for g in lx.UTILITY_TERMS.values() for t in g)))
 
 
-def contains_any(normalized: Column, terms: list[str]) -> Column:
-    """True if any term is a substring of an already normalized text."""
-    found = reduce(lambda a, b: a | b, [F.contains(normalized, F.lit(t)) for t in terms])
-    return F.coalesce(found, F.lit(False))
+@F.pandas_udf(IntegerType())
+def _term_flags(texts: pd.Series) -> pd.Series:
+    """1 telecom, 2 utility, 4 direct debit; texts are in normal form.
+
+    Searching some 160 terms in a text costs the JVM one byte loop per term; Python's
+    substring search is several times faster, batch transfer included.
+    """
+    def flags(t):
+        if not t:
+            return 0
+        return (any(w in t for w in TELECOM) + 2 * any(w in t for w in UTILITY)
+                + 4 * any(w in t for w in DIRECT_DEBIT))
+    return pd.Series([flags(t) for t in texts], dtype="int32")
+
+
+def _flag(flags: Column, bit: int) -> Column:
+    return flags.bitwiseAND(bit) != 0
 
 
 def joined_text(*parts) -> Column:
@@ -47,15 +60,15 @@ def joined_text(*parts) -> Column:
 
 
 def is_telecom(x) -> Column:
-    return text.let(text.tag_text(x), lambda t: contains_any(t, TELECOM))
+    return _flag(_term_flags(text.tag_text(x)), 1)
 
 
 def is_utility(x) -> Column:
-    return text.let(text.tag_text(x), lambda t: contains_any(t, UTILITY))
+    return _flag(_term_flags(text.tag_text(x)), 2)
 
 
 def is_direct_debit(subject, body) -> Column:
-    return contains_any(joined_text(subject, body), DIRECT_DEBIT)
+    return _flag(_term_flags(joined_text(subject, body)), 4)
 
 
 def tag_array(telecom, utility, debit) -> Column:
@@ -66,17 +79,15 @@ def tag_array(telecom, utility, debit) -> Column:
 
 def message_flags(messages: DataFrame, key: str) -> DataFrame:
     """One row per message: what its text says, and its opening characters."""
-    found = text.let(joined_text("subject", "body"), lambda t: F.struct(
-        contains_any(t, TELECOM).alias("m_telecom"), contains_any(t, UTILITY).alias("m_utility"),
-        contains_any(t, DIRECT_DEBIT).alias("m_debit"), F.substring(t, 1, _REACH).alias("m_head")))
-    return messages.select(F.col(key), found.alias("m")).select(key, "m.*")
+    m = messages.select(F.col(key), joined_text("subject", "body").alias("_text"))
+    return m.select(key, _term_flags("_text").alias("m_flags"), F.substring("_text", 1, _REACH).alias("m_head"))
 
 
 def derive_tags(documents: DataFrame, messages: DataFrame, key: str) -> DataFrame:
     """Add ``tags``; documents without a message rely on their names alone."""
     joined = documents.join(message_flags(messages, key), key, "left")
-    no = F.lit(False)
-    tags = text.let(joined_text("supplier_name", "bill_to", "m_head"), lambda t: tag_array(
-        contains_any(t, TELECOM) | F.coalesce("m_telecom", no), contains_any(t, UTILITY) | F.coalesce("m_utility", no),
-        F.coalesce("m_debit", no)))
-    return joined.withColumn("tags", tags).drop("m_telecom", "m_utility", "m_debit", "m_head")
+    own = _term_flags(joined_text("supplier_name", "bill_to", "m_head"))
+    found = joined.withColumn("_own", own).withColumn("m_flags", F.coalesce("m_flags", F.lit(0)))
+    either = F.col("_own").bitwiseOR(F.col("m_flags"))
+    return found.withColumn("tags", tag_array(_flag(either, 1), _flag(either, 2), _flag(F.col("m_flags"), 4))).drop(
+        "_own", "m_flags", "m_head")

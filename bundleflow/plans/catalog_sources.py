@@ -99,10 +99,14 @@ def resolve_columns(sql):
 
 
 # ===================================================================== mail ====
+def _spread(sql, text: str, *keys: str) -> DataFrame:
+    """One file per row, spread over tasks as a listing of real files would be."""
+    return sql(text).repartition(int(sql.spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _mail_bytes(sql) -> DataFrame:
     """Every conversation turn as a mail file with its text as body and attachment."""
-    # one mail per file: spread them as an inbox listing would
-    t = sql("SELECT conv_id, turn, role, text FROM {conversations}").repartition("conv_id", "turn")
+    t = _spread(sql, "SELECT conv_id, turn, role, text FROM {conversations}", "conv_id", "turn")
     k = F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
     raw = F.concat(
         F.lit('From: "'), "role", F.lit('" <'), "role", F.lit("@example.com>\nTo: in@example.com\nSubject: Turn "), k,
@@ -170,7 +174,7 @@ UNION ALL SELECT message_id, 0, '', NULL, true, NULL,
   'unsafe path(s) in zip All.ZIP (contained, not extracted outside): [''../evil.txt'']' FROM d WHERE NOT broken AND risky
 UNION ALL SELECT message_id, 0, '', NULL, false, NULL, 'unreadable or corrupt zip: All.ZIP' FROM d WHERE broken""")
 def expand_zip(sql):
-    packed = sql("SELECT doc_id, text FROM {documents}").repartition("doc_id").mapInArrow(
+    packed = _spread(sql, "SELECT doc_id, text FROM {documents}", "doc_id").mapInArrow(
         _zip_texts, "message_id string, att_ord int, file_name string, content binary")
     return archives.expand_zip(packed).select(
         "message_id", "depth", "rel_dir", "file_name", "unsafe", F.md5("content").alias("h"), "reason")

@@ -37,11 +37,14 @@ def _read_one(path: str, raw: bytes) -> dict:
             row["body"] = _content(body)
         elif not msg.is_multipart():
             row["body"] = _content(msg)
-        files = [p for p in msg.iter_attachments() if p.get_content_disposition() == "attachment" and p.get_filename()]
-        kept = [(p.get_filename(), p.get_payload(decode=True)) for p in files]
-        row["attachments"] = [
-            {"att_ord": i, "file_name": n, "content": d}
-            for i, (n, d) in enumerate(((n, d) for n, d in kept if d is not None), start=1)]
+        kept = []
+        for part in msg.iter_attachments():
+            # inline parts (logos, tracking pixels) are no attachments
+            name = part.get_filename() if part.get_content_disposition() == "attachment" else None
+            data = part.get_payload(decode=True) if name else None
+            if data is not None:
+                kept.append({"att_ord": len(kept) + 1, "file_name": name, "content": data})
+        row["attachments"] = kept
     except Exception as e:  # one bad file is one error row, never a failed run
         row.update(error=str(e) or type(e).__name__, attachments=[])
     return row
