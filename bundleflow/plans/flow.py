@@ -40,38 +40,38 @@ def documents(page_signals: DataFrame, page_fields: DataFrame, bundles: DataFram
     an error hold no documents.
     """
     good = bundles.where(F.col("error").isNull()).drop("error")
-    roles = segment.segment(page_signals.join(good.select("pdf_id"), "pdf_id", "left_semi"))
+    roles = cut_lineage(segment.segment(page_signals.join(good.select("pdf_id"), "pdf_id", "left_semi")))
     merged = fields.merge_fields_early_stop(roles, page_fields).select(*DOC, "bill_to", "po_numbers")
     docs = (segment.document_heads(roles).join(segment.page_runs(roles), DOC)
             .join(merged, DOC, "left").join(good, "pdf_id"))
     return docs.withColumn("po_numbers", F.coalesce("po_numbers", F.array().cast("array<string>")))
 
 
-def name_outputs(docs: DataFrame) -> DataFrame:
-    """Add ``output_pdf``: ``<supplier>_<number>.pdf``, unique within its folder."""
-    ordered = (docs.withColumn("_ord", F.shiftleft(F.col("pdf_ord").cast("long"), 31) + F.col("invoice_index"))
-               .withColumn("_stem", text.output_stem("supplier_name", "invoice_number", "invoice_index")))
-    named = naming.unique_names(ordered, "folder", "_stem", "_ord", "_name")
-    return named.withColumn("output_pdf", F.concat("folder", F.lit("/"), "_name", F.lit(".pdf"))).drop(
-        "_stem", "_name")
+def output_names(docs: DataFrame) -> DataFrame:
+    """``folder, _ord, output_pdf``: ``<supplier>_<number>.pdf``, unique within its folder."""
+    stems = docs.select("folder", "_ord", text.output_stem(
+        "supplier_name", "invoice_number", "invoice_index").alias("_stem"))
+    return naming.unique_names(stems, "folder", "_stem", "_ord", "_name").select("folder", "_ord", _pdf("output_pdf"))
 
 
-def rename_for_vn(docs: DataFrame, refs: References, entity: str = lx.VN_ENTITY) -> DataFrame:
-    """Match the supplier of documents of one entity and rename their files."""
-    mine = docs.where(F.col("le") == entity)
+def _pdf(name: str):
+    return F.concat("folder", F.lit("/"), "_name", F.lit(".pdf")).alias(name)
+
+
+def vn_renames(docs: DataFrame, refs: References, entity: str = lx.VN_ENTITY) -> DataFrame:
+    """Supplier match and new file name of the documents of one entity."""
+    mine = docs.where(F.col("le") == entity).select("folder", "_ord", "supplier_name", "invoice_number", "po_numbers")
     found = match.match_vn_supplier(mine, "supplier_name", refs.vn, refs.translations).select(
-        F.col("name").alias("supplier_name"), "supplier_id", F.col("translated_query").alias("vn_supplier_name"))
+        F.col("name").alias("supplier_name"), F.col("supplier_id").alias("vn_supplier_id"),
+        F.col("translated_query").alias("vn_supplier_name"))
     first_po = F.try_element_at("po_numbers", F.lit(1))
-    mine = (mine.join(found, "supplier_name", "left")
-            .withColumn("vn_reason", text.missing_fields("supplier_id", first_po, "invoice_number"))
-            .withColumn("_stem", text.renamed_stem("supplier_id", first_po, "invoice_number")))
-    moved = naming.unique_names(mine.where(F.col("_stem").isNotNull()), "folder", "_stem", "_ord", "_name").select(
-        "folder", "_ord", F.concat("folder", F.lit("/"), "_name", F.lit(".pdf")).alias("_moved"))
-    mine = mine.select("folder", "_ord", F.col("supplier_id").alias("vn_supplier_id"), "vn_supplier_name",
-                       "vn_reason", F.col("vn_reason").isNull().alias("vn_renamed")).join(
-        moved, ["folder", "_ord"], "left")
-    return (docs.join(mine, ["folder", "_ord"], "left")
-            .withColumn("output_pdf", F.coalesce("_moved", "output_pdf")).drop("_moved"))
+    reason = text.missing_fields("vn_supplier_id", first_po, "invoice_number")
+    mine = (mine.join(found, "supplier_name", "left").select(
+        "folder", "_ord", "vn_supplier_id", "vn_supplier_name", reason.alias("vn_reason"), reason.isNull().alias("vn_renamed"),
+        text.renamed_stem("vn_supplier_id", first_po, "invoice_number").alias("_stem")))
+    moved = naming.unique_names(mine.where(F.col("_stem").isNotNull()).select("folder", "_ord", "_stem"),
+                                "folder", "_stem", "_ord", "_name").select("folder", "_ord", _pdf("_moved"))
+    return mine.drop("_stem").join(moved, ["folder", "_ord"], "left")
 
 
 def enrich(docs: DataFrame, messages: DataFrame, refs: References) -> DataFrame:
@@ -90,9 +90,13 @@ def enrich(docs: DataFrame, messages: DataFrame, refs: References) -> DataFrame:
             .fillna({"is_sensitive": False, "sensitive_score": 0, "sensitive_method": "empty",
                      "sensitive_translated": False, "le_matched": False, "le_score": 0, "le_method": "empty",
                      "le_translated": False}))
-    routed = routing.route(tagging.derive_tags(both, messages, "folder"), refs.routing)
-    renamed = rename_for_vn(name_outputs(cut_lineage(routed)), refs)
-    return routing.review_reasons(renamed)
+    position = F.shiftleft(F.col("pdf_ord").cast("long"), 31) + F.col("invoice_index")  # within its folder
+    routed = cut_lineage(routing.route(tagging.derive_tags(both, messages, "folder"), refs.routing)
+                         .withColumn("_ord", position))
+    named = (routed.join(output_names(routed), ["folder", "_ord"])
+             .join(vn_renames(routed, refs), ["folder", "_ord"], "left")
+             .withColumn("output_pdf", F.coalesce("_moved", "output_pdf")).drop("_moved"))
+    return routing.review_reasons(named)
 
 
 def run_flow(page_signals: DataFrame, page_fields: DataFrame, bundles: DataFrame, messages: DataFrame,
