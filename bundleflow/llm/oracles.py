@@ -91,3 +91,12 @@ select conv_id, count(*)::bigint as n_turns,
        sum(length(role_out) + length(text_out) + 24)::bigint as formatted_chars
 from e group by conv_id
 """
+
+ORACLES["op9_warc"] = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when first_id is null or page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id is null or page_id <> first_id then first_id end as refers_to
+from p left join f using (payload_digest)
+"""

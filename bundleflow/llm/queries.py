@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, licenses, secrets
+from . import chat, licenses, packing, secrets, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_paths(chat.reply_tree(turns.unionByName(extra))))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (warc.round_trip(table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -39,4 +48,4 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_secret_scan, op7_license_scan, op8_chat_format)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_secret_scan, op2_packing, op7_license_scan, op8_chat_format, op9_warc)}
