@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-SENTENCE_PENALTY = 4.0
-TOKEN_PENALTY = 24.0
+SENTENCE_PENALTY = 2.0
+TOKEN_PENALTY = 12.0
 STRETCH = 64 * WINDOW
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -87,7 +87,6 @@ class ByteTokenizer:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
-
     @staticmethod
     def _long_run(text: str) -> bool:
         """Whether a run of word or of space characters may have 1,000 of them."""
@@ -120,8 +119,11 @@ def candidates(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, wind
     return places, penalty
 
 
-def cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
-    """Places of the least-cost cuts, the first and the last place included."""
+def cuts(places: np.ndarray, penalty: np.ndarray, window: int, last: bool = True) -> list[int]:
+    """Places of the least-cost cuts, the first and the last place included.
+
+    Unless it is the ``last`` window of all, the final one stays open: tokens that follow fill it, so it costs nothing.
+    """
     p, pen = places.tolist(), penalty.tolist()
     n = len(p)
     best, before = [0.0] * n, [0] * n
@@ -134,7 +136,9 @@ def cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
             queue.popleft()
         key, i = queue[0]
         cost = key + window - at
-        for s in powers if j == n - 1 else ():  # the last window: a power of two needs no padding
+        if j == n - 1 and not last:
+            cost, i = min((best[k], k) for _, k in queue)
+        for s in powers if last and j == n - 1 else ():  # the last window: a power of two needs no padding
             k = index.get(at - s)
             if k is not None and best[k] < cost:
                 cost, i = best[k], k
@@ -184,7 +188,7 @@ class _Stream:
         stream = np.concatenate(parts)
         doc_ends = np.array(ends, np.int64)
         sentence_ends = np.flatnonzero(self.marks[stream]) + 1
-        where = cuts(*candidates(seen, doc_ends, sentence_ends, self.window, *self.penalties), self.window)
+        where = cuts(*candidates(seen, doc_ends, sentence_ends, self.window, *self.penalties), self.window, last)
         for a, b in zip(where[:-1] if last else where[:-2], where[1:], strict=False):
             yield from self._window(b - a)
 

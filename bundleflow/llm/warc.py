@@ -5,9 +5,9 @@ writes its pages to archives of about ``roll`` payload bytes.  An archive begins
 0x184D2A5D) that holds a Zstandard dictionary built from the archive's own records; every record follows as a frame of
 its own, so any record can be read with the dictionary and its place alone.
 
-Archives are written by the tasks through pyarrow's file systems (local or mounted folders, object stores), under a
-name that follows from the task's partition and an attempt number, and moved to their final name when complete: a task
-that runs again replaces its archives.  They are read back with Spark's binaryFile source.
+Archives are written by the tasks through pyarrow's file systems (local or mounted folders, object stores), under names
+that hold the number of the attempt.  Spark commits a manifest of the attempts that counted, and the reader opens only
+archives that the manifest lists, so what a lost or repeated attempt left is never read.
 
 Defined results: a null html is an empty payload; payloads of fewer than 100 bytes are always responses; rows that
 repeat the smallest page id of a payload are responses too, since nothing tells them apart; pages without id can revisit
@@ -102,10 +102,7 @@ def archive_frames(records: list[bytes]) -> Iterator[bytes]:
 def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives below ``folder``; returns the manifest (archive, records, bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:")
-                                             else f"file://{folder}")
+        store, root = _store(folder)
         context = TaskContext.get()
         records: list[bytes] = []
         held = number = 0
@@ -113,13 +110,12 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
 
         def close() -> None:
             nonlocal held, number
-            name = f"part-{context.partitionId():06d}-{number:05d}.warc.zst"
-            draft, size = f"{root}/_drafts/{context.taskAttemptId()}-{name}", 0
-            with store.open_output_stream(draft, compression=None) as out:
+            name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{number:05d}.warc.zst"
+            size = 0
+            with store.open_output_stream(f"{root}/archives/{name}", compression=None) as out:
                 for frame in archive_frames(records):
                     out.write(frame)
                     size += len(frame)
-            store.move(draft, f"{root}/archives/{name}")
             done.append((name, len(records), size))
             records.clear()
             held, number = 0, number + 1
@@ -139,19 +135,17 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame:
                                          pa.schema([("archive", pa.string()), ("records", pa.int64()),
                                                     ("bytes", pa.int64())]))
 
-    make_folders(folder)
+    store, root = _store(folder)
+    store.create_dir(f"{root}/archives", recursive=True)
     manifest = f"{folder}/manifest"
     with_roles(pages).mapInArrow(run, "archive string, records long, bytes long").write.parquet(manifest)
     return pages.sparkSession.read.parquet(manifest)
 
 
-def make_folders(folder: str) -> None:
+def _store(folder: str):
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:")
-                                         else f"file://{folder}")
-    for name in ("archives", "_drafts"):
-        store.create_dir(f"{root}/{name}", recursive=True)
+    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
 
 
 def records(content: bytes) -> Iterator[bytes]:
@@ -191,26 +185,30 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                         ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         *([("payload", pa.binary())] if payloads else [])])
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{root}/archives/{name}") as file:
+                    content = file.read()
                 rows: list[tuple] = []
-                for record in records(content.as_py()):
+                for record in records(content):
                     rows.append(_parse(record)[:len(schema)])
                     if len(rows) == 1000:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
-                            schema=schema)
+                        yield table(rows)
                         rows.clear()
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
-                        schema=schema)
+                    yield table(rows)
 
     columns = ("page_id long, refers_to long, url string, record_type string, payload_bytes long, payload_digest string"
                + ", payload binary" * payloads)
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{folder}/archives")
-            .select("content").mapInArrow(run, columns))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return (spark.read.parquet(f"{folder}/manifest").select("archive").repartition(tasks)
+            .mapInArrow(run, columns))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
