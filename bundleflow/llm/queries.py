@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, langid, licenses, packing, pii, secrets, warc
+from . import ann, chat, langid, licenses, ngram_join, packing, pii, secrets, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -22,6 +23,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_shingles", "component_id"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -57,4 +67,4 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_secret_scan, op2_packing, op3_pii, op7_license_scan, op8_chat_format, op9_warc, op10_language_id)}
+    op1_secret_scan, op2_packing, op3_pii, op4_ann, op6_ngram_join, op7_license_scan, op8_chat_format, op9_warc, op10_language_id)}
