@@ -162,11 +162,15 @@ def nearest(embeddings: DataFrame, is_query: Column, vec_id: str = "vec_id", vec
     total, asked = embeddings.agg(F.count(vec_id), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // query_rows))
     mark = F.xxhash64("vec_id")
-    corpus = (rows.withColumn("shard", F.pmod(mark, F.lit(shards)))
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    corpus = (rows.withColumn("shard", F.pmod(mark, F.lit(shards).cast("long")))
+              .withColumn("block", each(blocks))
               .withColumn("is_query", F.lit(False)))
-    queries = (rows.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
-               .withColumn("block", F.pmod(F.shiftrightunsigned(mark, 8), F.lit(blocks)))
+    queries = (rows.where(is_query).withColumn("shard", each(shards))
+               .withColumn("block", F.pmod(F.shiftrightunsigned(mark, 8), F.lit(blocks).cast("long")))
                .withColumn("is_query", F.lit(True)))
     cells = corpus.unionByName(queries.select(corpus.columns))
     found = cells.groupBy("shard", "block").applyInArrow(

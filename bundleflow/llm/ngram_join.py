@@ -1,7 +1,7 @@
 """Exact Jaccard join of word-shingle sets through a token-group matrix.
 
 Documents with equal sets are one class (``sid``).  Classes are partitioned into groups of about ``GROUP`` similar ones:
-classes of like size whose sets share the smallest hash.  The matrix holds, for every token, the groups in whose union
+classes of like size that share the smallest hash among the tokens they have in common with any other.  The matrix holds, for every token, the groups in whose union
 it occurs.  A class q can only link to a member of group G if enough of q's tokens occur in G's union; groups that pass
 this bound are opened, and q is compared with their members.
 
@@ -12,7 +12,8 @@ How pairs are found without comparing all of them, and without losing one:
 * Two linked sets share a token among the first ``n - ceil(0.75 n) + 1`` of either (prefix filter).  Only such tokens
   enter the matrix, and only if two classes share them.
 * For q and a member d, overlap <= common prefix tokens + tokens behind a prefix.  With the number of q's prefix tokens
-  in G's union and the sizes in G this bounds the overlap with any member; groups below it stay closed.
+  in the union of G's other members and the sizes in G this bounds the overlap with any of them; groups that no class
+  can reach stay closed, q's own group included.
 * Opened groups test the same with full unions, then exact intersections.
 
 A group links its own members first, and a query links to one member of each part it reaches, so no task emits all
@@ -50,32 +51,31 @@ def needed(n: int) -> int:
 
 
 def _survey(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """One row per document (doc_id, mark, n, sid, low), and rows (bucket, hits) of locally frequent tokens.
+    """One row per document (doc_id, mark, n, sid), and rows (bucket, hits) of locally frequent tokens.
 
-    ``mark`` is a hash of the text, ``low`` the smallest token.  A bucket is a stretch of the hash range.
+    ``mark`` is a hash of the text.  A bucket is a stretch of the hash range.
     """
-    names = ("doc_id", "mark", "n", "sid", "low", "bucket", "hits")
+    names = ("doc_id", "mark", "n", "sid", "bucket", "hits")
     schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shift = np.zeros(1 << SKETCH_BITS, np.int32), np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            sizes, sids, lows = [], [], []
+            sizes, sids = [], []
             for _, sets in chunks(batch.column(2)):
                 for own in sets:
                     sizes.append(len(own))
                     sids.append(set_id(own))
-                    lows.append(int(own[:1].view(np.int64)[0]) if len(own) else None)
                     counts[(own >> shift).astype(np.int64)] += 1  # distinct tokens seldom share a bucket
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
-                 pa.array(lows, pa.int64()), none, none], schema=schema)
+                 none, none], schema=schema)
         mean = counts.sum(dtype=np.int64) / len(counts)
         often = np.flatnonzero(counts > mean + 4 * math.sqrt(mean) + 4)
         if len(often):
             none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(often), pa.array(counts[often].astype(np.int64))],
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(often), pa.array(counts[often].astype(np.int64))],
                                              schema=schema)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"),
@@ -153,11 +153,16 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"token": tokens[keep].view(np.int64), "sid": sids[keep]})
 
 
-def groups_of(survey: DataFrame, group: int = GROUP) -> DataFrame:
-    """(sid, n, at, gid): the classes and their groups; ``at`` names a row of the class by (mark, id)."""
+def groups_of(survey: DataFrame, shared: DataFrame, group: int = GROUP) -> DataFrame:
+    """(sid, n, at, gid): the classes that share a token, and their groups.
+
+    ``at`` names a row of the class by (mark, id).  A class that shares no prefix token can't link.
+    """
+    lowest = shared.groupBy("sid").agg(F.min(F.xxhash64("token")).alias("low"))
     classes = (survey.where("n > 0")
-               .groupBy("sid").agg(F.first("n").alias("n"), F.first("low").alias("low"),
+               .groupBy("sid").agg(F.first("n").alias("n"),
                                    F.min(F.struct("mark", F.coalesce("doc_id", F.lit(-2**63)).alias("id"))).alias("at"))
+               .join(lowest, "sid")
                .withColumn("key", F.xxhash64("low", F.floor(F.log("n") / math.log(1.15)))))
     large = (classes.groupBy("key").count().where(F.col("count") > group)
              .select("key", F.ceil(F.col("count") / group).alias("parts")))
@@ -167,16 +172,17 @@ def groups_of(survey: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def qualifying(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sid, gid): the closed groups a class must be compared with, each pair of groups from one side."""
+    """(sid, gid, own): the groups that a class may reach, each pair of groups from one side; ``own``: its own group."""
     member = stored(shared.join(groups.select("sid", "n", "gid"), "sid"), "members")
-    sizes = groups.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = (member.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = (member.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"),
+                                                 F.count("*").alias("holders"))
               .withColumnRenamed("gid", "other"))
-    # sizes that do not fit are dropped at once, so a passage that many documents share links few groups
+    # sizes that do not fit are dropped at once
     fits = (F.col("most") * 4 >= F.col("n") * 3) & (F.col("least") * 3 <= F.col("n") * 4)
-    met = (member.join(matrix, "token").where((F.col("gid") < F.col("other")) & fits)
-           .groupBy("sid", "n", "other").agg(F.count("*").alias("common"))
-           .join(sizes.withColumnRenamed("gid", "other"), "other"))
+    side = (F.col("gid") < F.col("other")) | (F.col("gid") == F.col("other")) & (F.col("holders") > 1)
+    met = (member.join(matrix, "token").where(side & fits)
+           .groupBy("sid", "n", "gid", "other")
+           .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")))
     low = F.greatest(F.col("least").cast("double"), F.col("n") * 0.75)
     high = F.least(F.col("most").cast("double"), F.col("n") / 0.75)
 
@@ -185,7 +191,7 @@ def qualifying(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
     # the bound is concave in the member's size, so its least value lies at an end of the range
     return (met.where(F.col("common") >= F.least(short(low), short(high)) - 1e-6)
-            .select("sid", F.col("other").alias("gid")))
+            .select("sid", F.col("other").alias("gid"), (F.col("gid") == F.col("other")).alias("own")))
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
@@ -255,15 +261,12 @@ def _open(table: pa.Table) -> pa.Table:
 def links(docs: DataFrame, groups: DataFrame, queries: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(a, b): enough links between classes to connect all that the similarity connects."""
     asked = stored(queries, "queries")
-    counts = (groups.groupBy("gid").agg(F.count("*").alias("members"))
-              .join(asked.groupBy("gid").agg(F.count("*").alias("queries")), "gid", "left")
-              .where("members > 1 or queries > 0")
-              .select("gid", F.ceil(F.coalesce("queries", F.lit(0)) / QUERIES_AT_ONCE).alias("parts"))
-              .withColumn("parts", F.greatest("parts", F.lit(1))))
+    counts = (asked.groupBy("gid").agg(F.sum(F.when(F.col("own"), 0).otherwise(1)).alias("queries"))
+              .select("gid", F.greatest(F.ceil(F.col("queries") / QUERIES_AT_ONCE), F.lit(1)).alias("parts")))
     members = (groups.select("sid", "gid").join(counts, "gid")
                .select("sid", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
                        F.lit(False).alias("is_query")))
-    called = (asked.join(counts, "gid")
+    called = (asked.where("not own").join(counts, "gid")
               .select("sid", "gid", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"),
                       F.lit(True).alias("is_query")))
     roles = stored(members.unionByName(called), "roles")
@@ -312,8 +315,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 survey.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect()]
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, math.ceil(tokens / 4 / PAIRS_PER_BUCKET))
-    groups = groups_of(rows, group)
-    shared = _prefix_pairs(docs, text, frequent, buckets).groupBy("bucket").applyInArrow(_shared, "token long, sid long")
+    shared = stored(_prefix_pairs(docs, text, frequent, buckets).groupBy("bucket")
+                    .applyInArrow(_shared, "token long, sid long"), "shared")
+    groups = groups_of(rows, shared, group)
     edges = links(docs, groups, qualifying(shared, groups), text, doc_id)
     found = components(edges)
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
