@@ -12,8 +12,8 @@ How pairs are found without comparing all of them, and without losing one:
 * Two linked sets share a token among the first ``n - ceil(0.75 n) + 1`` of either (prefix filter).  Only such tokens
   enter the matrix, and only if two classes share them.
 * For q and a member d, overlap <= common prefix tokens + tokens behind a prefix.  With the number of q's prefix tokens
-  in the union of G's other members and the sizes in G this bounds the overlap with any of them; groups that no class
-  can reach stay closed, q's own group included.
+  in the union of G's other members and the sizes in G this bounds the overlap with any of them.  Two groups meet only
+  if some class of either passes this bound against the other, and only those that pass are compared.
 * Opened groups test the same with full unions, then exact intersections.
 
 A group links its own members first, and a query links to one member of each part it reaches, so no task emits all
@@ -171,16 +171,17 @@ def groups_of(survey: DataFrame, shared: DataFrame, group: int = GROUP) -> DataF
                   .select("sid", "n", "at", F.xxhash64("key", part).alias("gid")), "groups")
 
 
-def qualifying(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sid, gid, own): the groups that a class may reach, each pair of groups from one side; ``own``: its own group."""
-    member = stored(shared.join(groups.select("sid", "n", "gid"), "sid"), "members")
+def reach(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sid, gid, other): the groups that a class of group ``gid`` may reach, its own included."""
+    # one exchange by token serves the matrix and the join with it
+    member = shared.join(groups.select("sid", "n", "gid"), "sid").repartition("token")
     matrix = (member.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"),
                                                  F.count("*").alias("holders"))
               .withColumnRenamed("gid", "other"))
     # sizes that do not fit are dropped at once
     fits = (F.col("most") * 4 >= F.col("n") * 3) & (F.col("least") * 3 <= F.col("n") * 4)
-    side = (F.col("gid") < F.col("other")) | (F.col("gid") == F.col("other")) & (F.col("holders") > 1)
-    met = (member.join(matrix, "token").where(side & fits)
+    others = (F.col("gid") != F.col("other")) | (F.col("holders") > 1)
+    met = (member.join(matrix, "token").where(others & fits)
            .groupBy("sid", "n", "gid", "other")
            .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")))
     low = F.greatest(F.col("least").cast("double"), F.col("n") * 0.75)
@@ -191,7 +192,23 @@ def qualifying(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
     # the bound is concave in the member's size, so its least value lies at an end of the range
     return (met.where(F.col("common") >= F.least(short(low), short(high)) - 1e-6)
-            .select("sid", F.col("other").alias("gid"), (F.col("gid") == F.col("other")).alias("own")))
+            .select("sid", "gid", "other"))
+
+
+def roles_of(reached: DataFrame) -> DataFrame:
+    """(sid, gid, part, is_query): who is compared where; the queries of a group are dealt to parts."""
+    own, cross = reached.where("gid = other"), reached.where("gid != other")
+    back = cross.select(F.col("other").alias("gid"), F.col("gid").alias("other")).distinct()
+    both = cross.join(back, ["gid", "other"], "left_semi")
+    queries = both.where("gid < other").select("sid", F.col("other").alias("gid"))
+    members = own.unionByName(both.where("gid > other")).select("sid", "gid").distinct()
+    parts = (queries.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("parts")))
+    dealt = members.join(parts, "gid", "left").select(
+        "sid", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+        F.lit(False).alias("is_query"))
+    called = queries.join(parts, "gid").select(
+        "sid", "gid", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), F.lit(True).alias("is_query"))
+    return stored(dealt.unionByName(called), "roles")
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
@@ -220,6 +237,8 @@ def _open(table: pa.Table) -> pa.Table:
     members = {int(sids[i]): sets[i] for i in np.flatnonzero(~is_query)}
     queries = {int(sids[i]): sets[i] for i in np.flatnonzero(is_query)}
     names, member_sets = list(members), list(members.values())
+    if not names:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     left: list[int] = []
     right: list[int] = []
     sizes = np.array([len(s) for s in member_sets], np.int64)
@@ -258,21 +277,11 @@ def _open(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def links(docs: DataFrame, groups: DataFrame, queries: DataFrame, text: str, doc_id: str) -> DataFrame:
+def links(docs: DataFrame, groups: DataFrame, roles: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(a, b): enough links between classes to connect all that the similarity connects."""
-    asked = stored(queries, "queries")
-    counts = (asked.groupBy("gid").agg(F.sum(F.when(F.col("own"), 0).otherwise(1)).alias("queries"))
-              .select("gid", F.greatest(F.ceil(F.col("queries") / QUERIES_AT_ONCE), F.lit(1)).alias("parts")))
-    members = (groups.select("sid", "gid").join(counts, "gid")
-               .select("sid", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-                       F.lit(False).alias("is_query")))
-    called = (asked.where("not own").join(counts, "gid")
-              .select("sid", "gid", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"),
-                      F.lit(True).alias("is_query")))
-    roles = stored(members.unionByName(called), "roles")
     wanted = groups.join(roles.select("sid").distinct(), "sid").select("at.mark", "at.id")
     sets = _sets(docs, text, doc_id, wanted).dropDuplicates(["sid"])
-    return (roles.join(sets, "sid").groupBy("gid", "part").applyInArrow(_open, "a long, b long"))
+    return roles.join(sets, "sid").groupBy("gid", "part").applyInArrow(_open, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,7 +327,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = stored(_prefix_pairs(docs, text, frequent, buckets).groupBy("bucket")
                     .applyInArrow(_shared, "token long, sid long"), "shared")
     groups = groups_of(rows, shared, group)
-    edges = links(docs, groups, qualifying(shared, groups), text, doc_id)
+    roles = roles_of(stored(reach(shared, groups), "reach"))
+    edges = links(docs, groups, roles, text, doc_id)
     found = components(edges)
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = (classes.join(found, classes.sid == found.node, "left")
