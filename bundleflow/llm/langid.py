@@ -234,7 +234,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row: ``keep``, lang_pred, score (the mean probability of that label)."""
+    """One row per input row: ``keep``, lang_pred, score (the mean probability of that label).
+
+    ``keep`` may hold the text itself.
+    """
     source = docs.select(*keep, F.coalesce(F.when(has_letter(F.col(text)), F.col(text)), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, chat, langid, licenses, ngram_join, packing, pii, secrets, warc
+from . import ann, chat, decontam, langid, licenses, ngram_join, packing, pii, secrets, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -27,6 +27,11 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+            .select("doc_id", "item_id", F.round("score", 6).alias("score"), "end_word"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_shingles", "component_id"))
@@ -67,4 +72,5 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_secret_scan, op2_packing, op3_pii, op4_ann, op6_ngram_join, op7_license_scan, op8_chat_format, op9_warc, op10_language_id)}
+    op1_secret_scan, op2_packing, op3_pii, op4_ann, op5_decontamination, op6_ngram_join, op7_license_scan, op8_chat_format, op9_warc, op10_language_id,
+    pipeline)}
