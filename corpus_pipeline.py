@@ -31,10 +31,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that with the smallest id, once; documents without id stay."""
     ship(spark)
-    found = ngram_join.near_duplicates(docs)
+    found = stored(ngram_join.near_duplicates(docs), "components")
     dropped = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = (found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"),
+                      "repeated")
+    if repeated.isEmpty():
+        return kept
     again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
 
