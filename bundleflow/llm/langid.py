@@ -35,7 +35,7 @@ SAMPLE_BUCKETS = 384
 STEPS = 240
 BATCH = 96
 TRAIN_LENGTH = 48
-ROWS_AT_ONCE = 8192
+ROWS_AT_ONCE = 2048
 
 
 def held_out(doc_id) -> F.col:

@@ -22,6 +22,7 @@ row; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -59,13 +60,16 @@ class ByteTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self._slow, self.fast = path, None, None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        self.special = [t["content"] for t in content["added_tokens"]]
+        words = content["model"]["vocab"]
+        self.ends_sentence = np.zeros(max(words.values()) + len(self.special) + 1, bool)
+        for word, i in words.items():
+            # a byte-level vocabulary writes a line feed as Ċ
+            self.ends_sentence[i] = "Ċ" in word or word.rstrip("\"')]")[-1:] in (".", "!", "?")
         if os.path.exists(ranks):
             import base64
 
@@ -76,11 +80,15 @@ class ByteTokenizer:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges,
                                           special_tokens={})
-        words = self.slow.get_vocab()
-        self.ends_sentence = np.zeros(max(words.values()) + 1, bool)
-        for word, i in words.items():
-            # a byte-level vocabulary writes a line feed as Ċ
-            self.ends_sentence[i] = "Ċ" in word or word.rstrip("\"')]")[-1:] in (".", "!", "?")
+
+    @property
+    def slow(self):
+        if self._slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special) or self._long_run(text):
