@@ -16,16 +16,18 @@ from bundleflow.llm import decontam, langid, ngram_join, packing, pii
 from bundleflow.llm.common import stored, table
 from bundleflow.session import ship
 
-#: A document of less certain language is rejected.
-LEAST_LANGUAGE_SCORE = 0.4
+#: A document is rejected where the network tells its language by less than this many times chance.
+LEAST_OVER_CHANCE = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised: not ``und``, and with a score of at least 0.4."""
+    """Keeps documents whose language is recognised: not ``und``, and with a score clearly above chance."""
     ship(spark)
-    columns = docs.columns
-    judged = langid.predict(docs, langid.fit(docs), keep=tuple(columns))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no clash with the columns added
+    net = langid.fit(docs)
+    judged = langid.predict(docs.select(row, "text"), net, keep=("row",))
+    least = min(1.0, LEAST_OVER_CHANCE / len(net.labels)) if net else 1.0
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that hold a passage of a test item, copied or edited."""
     ship(spark)
     marks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("mark").distinct()
-    return (docs.withColumn("_mark", F.sha2("text", 256))
-            .join(marks, F.col("_mark") == marks["mark"], "left_anti").select(docs.columns))
+    return docs.join(marks, F.sha2(docs["text"], 256) == marks["mark"], "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
