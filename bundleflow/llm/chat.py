@@ -58,7 +58,8 @@ def reply_tree(turns: DataFrame) -> DataFrame:
 def branches(messages: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, steps): every root-to-leaf path as rows; ``steps`` is the distance from the leaf.
 
-    ``messages`` is a stored table; links that form a cycle or lead to no message end the path there.
+    ``messages`` is a stored table; a link that leads to no message ends the path there.
+    Links that form a cycle raise an error.
     """
     key = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))  # null ids join too
     links = messages.select("conv_id", key.alias("tree"), "node", "parent")
@@ -67,7 +68,7 @@ def branches(messages: DataFrame) -> DataFrame:
     parents = links.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     paths = (links.join(parents, ["tree", "node"], "left_anti")
              .select("conv_id", "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps")))
-    paths, distance = stored(paths, "paths"), 1
+    paths, distance, most = stored(paths, "paths"), 1, messages.count()
     while True:
         further = (paths.join(jump.withColumnRenamed("from", "node"), ["tree", "node"])
                    .select("conv_id", "tree", "leaf", F.col("to").alias("node"),
@@ -81,6 +82,8 @@ def branches(messages: DataFrame) -> DataFrame:
         paths = grown
         if jump.isEmpty():
             return paths
+        if distance > most:
+            raise ValueError("the links form a cycle")
 
 
 def format_paths(messages: DataFrame, top: int = 1) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import has_letter
 
@@ -261,8 +262,9 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tupl
                 [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}lang_pred string, score double")
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -117,8 +118,6 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans by kind as listed, then start."""
-    if not text.isascii() and not _DOTTED.search(text) and "@" not in text:
-        return []
     return [(kind, s, e) for kind, find in zip(KINDS, (emails, addresses, cards, phones), strict=True)
             for s, e in find(text)]
 
@@ -206,8 +205,7 @@ def _scan(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
                  pa.array(mores, more_type)],
                 names=[*batch.schema.names[:-1], "base", "base_sha256", "more"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}, {SCAN_SCHEMA}" if kept else SCAN_SCHEMA)
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(SCAN_SCHEMA).fields]))
 
 
 def label_model(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -295,15 +293,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans become one."""
-    names = tuple(docs.columns)
-    found = find(docs, text, names, threshold)
-    spans = F.array_sort("spans")
+    # a row travels as one column, so no column of the input can clash with those added here
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    found = find(row, "text", ("row",), threshold)
+    whole = F.col(f"row.`{text}`")
     merged = F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, m: F.when(m.s < a["at"], F.struct(F.greatest(a["at"], m.e).alias("at"), a["out"].alias("out")))
         .otherwise(F.struct(m.e.alias("at"), F.concat(
-            a["out"], F.substr(F.col(text), a["at"] + 1, m.s - a["at"]), F.lit("<"), F.upper(m.kind), F.lit(">"))
+            a["out"], F.substr(whole, a["at"] + 1, m.s - a["at"]), F.lit("<"), F.upper(m.kind), F.lit(">"))
             .alias("out"))),
-        lambda a: F.concat(a["out"], F.substr(F.col(text), a["at"] + 1)))
-    masked = F.when(F.col(text).isNull() | (F.size("spans") == 0), F.col(text)).otherwise(merged)
-    return found.select(*[masked.alias(c) if c == text else F.col(c) for c in names])
+        lambda a: F.concat(a["out"], F.substr(whole, a["at"] + 1)))
+    masked = F.when(whole.isNull() | (F.size("spans") == 0), whole).otherwise(merged)
+    return found.select(*[masked.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
