@@ -229,3 +229,10 @@ UTILITY_TERMS = {
         "Reduceri pentru clienți", "Impozitul reținut la sursă", "Beneficii de leasing auto",
     ],
 }
+
+# Zone names of mail dates (RFC 2822) and their offsets.
+MAIL_ZONES = {
+    "UT": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "Z": "+00:00",
+    "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00",
+    "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
+}

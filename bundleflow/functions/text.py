@@ -301,8 +301,8 @@ def parse_sender(x) -> Column:
     return F.struct(name.alias("sender_name"), F.coalesce(mail, F.lit("")).alias("sender_email"))
 
 
-_MAIL_DATE = (r"^\s*(?:[A-Za-z]+,)?\s*(\d{1,2})[\s-]+([A-Za-z]{3})[a-z]*[\s-]+(\d{4})\s+"
-              r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|GMT|UTC|UT|Z))?\s*(?:\(.*\))?\s*$")
+_MAIL_DATE = (r"^\s*(?:[A-Za-z]+,)?\s*(\d{1,2})[\s-]+([A-Za-z]{3})[a-z]*[\s-]+(\d{4}|\d{2})\s+"
+              r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[A-Za-z]{1,5}))?\s*(?:\(.*\))?\s*$")
 
 
 def date_to_iso(x) -> Column:
@@ -321,10 +321,14 @@ def _iso_from_parts(parts: Column) -> Column:
                    .cast("int").cast("string"), 2, "0")
     second = F.coalesce(blank_to_null(part(6)), F.lit("00"))
     zone = part(7)
+    zones = F.create_map(*[F.lit(x) for pair in lx.MAIL_ZONES.items() for x in pair])
+    # a zone that has no number is local time
     offset = (F.when(zone.isin("", "-0000"), "")
               .when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
-              .otherwise("+00:00"))
-    local = F.concat(part(3), F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"),
+              .otherwise(F.coalesce(F.try_element_at(zones, F.upper(zone)), F.lit(""))))
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(
+        F.concat(F.when(part(3) > "68", "19").otherwise("20"), part(3)))
+    local = F.concat(year, F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"),
                      F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), second)
     readable = (F.size(parts) == 7) & F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
     return F.when(readable, F.concat(local, offset))

@@ -43,7 +43,7 @@ def block_reasons(messages: DataFrame, attachments: DataFrame) -> DataFrame:
     ).alias("reason")).where(F.col("reason").isNotNull())
     with_pdf = kept.where(attachment_type("file_name") == "pdf").select("message_id").distinct()
     none = messages.join(with_pdf, "message_id", "left_anti").select(
-        "message_id", F.lit(None).cast("int").alias("att_ord"),
+        "message_id", F.lit(None).cast("long").alias("att_ord"),
         F.lit("no PDF attachment in this message").alias("reason"))
     return own.unionByName(none)
 
@@ -102,7 +102,7 @@ def pair_attachments(attachments: DataFrame) -> DataFrame:
     offset = 1 << 40  # every archive group comes before the first PDF
     claims = (taken.unionByName(wanted.withColumn("ord", F.col("ord") + offset)))
     named = (unique_names(claims, "message_id", "folder", "ord", "group_name").where(F.col("ord") >= offset)
-             .select("message_id", (F.col("ord") - offset).cast("int").alias("att_ord"), "group_name"))
+             .select("message_id", (F.col("ord") - offset).alias("att_ord"), "group_name"))
 
     # One row per stem, and per prefix of a stem: the first PDF that has it.
     first = F.min("att_ord").alias("pdf_ord")

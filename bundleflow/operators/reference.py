@@ -97,7 +97,7 @@ def vn_suppliers(raw: DataFrame, translations: DataFrame) -> DataFrame:
     en = F.coalesce(F.when(~text.non_ascii("name"), F.col("name")), F.when(~text.non_ascii("alt"), F.col("alt")))
     named = rows.withColumn("vietnamese_name", vn).withColumn("en", en)
     need = F.when(F.col("en").isNull(), F.col("vietnamese_name"))
-    known = translations.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    known = translations.groupBy(F.col("src").alias("_src")).agg(F.min("dst").alias("_dst"))
     filled = named.withColumn("_src", need).join(known, "_src", "left")
     english = F.coalesce("en", "_dst", "_src")
     return filled.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .naming import unique_names
 
 
 def _text(c: str):
@@ -85,11 +86,18 @@ def outbound_manifest(batches: DataFrame, stamped: DataFrame) -> DataFrame:
 
 def attention_manifest(folders: DataFrame, originals: DataFrame, failed: DataFrame, stamped: DataFrame) -> DataFrame:
     """What a person must look at: originals of quarantined folders and files of
-    batches that could not be sent.  Empty when there is nothing."""
+    batches that could not be sent.  Empty when there is nothing.
+
+    Originals of one file name are told apart by a number, in the order of a hash of
+    their paths."""
     mails = (folders.where("quarantined").join(originals, "folder")
              .where(F.col("msg_path").isNotNull())
-             .select(F.concat(F.lit("quarantined_source_emails/"), text.base_name("msg_path")).alias("entry"),
-                     F.col("msg_path").alias("path")))
+             .select(F.col("msg_path").alias("path"), text.base_name("msg_path").alias("_base")).distinct()
+             .select("path", F.regexp_extract("_base", r"(\.[^.]*)?$", 0).alias("_suffix"),
+                     F.regexp_replace("_base", r"\.[^.]*$", "").alias("_stem"),
+                     F.shiftrightunsigned(F.xxhash64("path"), 1).alias("_ord")))
+    mails = unique_names(mails, "_suffix", "_stem", "_ord", "_name").select(
+        F.concat(F.lit("quarantined_source_emails/"), "_name", "_suffix").alias("entry"), "path")
     files = (stamped.join(failed.select("batch_id"), "batch_id")
              .where(F.col("output_pdf").isNotNull())
              .select(F.concat(F.lit("failed_to_send/"), "batch_id", F.lit("/"),

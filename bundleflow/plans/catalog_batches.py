@@ -220,7 +220,7 @@ def attachment_types(sql):
 
 
 # Distinct PDF names within a message, so that group names need no numbering.
-_FILES_OF_MAIL = """SELECT o_custkey AS message_id, CAST(o_orderkey AS INT) AS att_ord,
+_FILES_OF_MAIL = """SELECT o_custkey AS message_id, CAST(o_orderkey AS BIGINT) AS att_ord,
   concat(CASE WHEN o_orderkey % 4 = 0 THEN concat('Inv-', CAST(o_orderkey AS STRING))
               WHEN o_orderkey % 4 = 1 THEN concat('INV ', CAST(o_orderkey - o_orderkey % 10 AS STRING), ' details')
               WHEN o_orderkey % 4 = 2 THEN CAST(o_custkey AS STRING) ELSE concat('inv', CAST(o_custkey % 10 AS STRING)) END,
@@ -272,9 +272,8 @@ def output_names(sql):
     heads = segment.document_heads(_equal_roles(sql))
     stems = heads.select(
         "pdf_id", "invoice_index", F.concat(F.lit("mail_"), (F.col("pdf_id") % 50).cast("string")).alias("folder"),
-        (F.shiftleft("pdf_id", 31) + F.col("invoice_index")).alias("ord"),
         text.output_stem("supplier_name", "invoice_number", "invoice_index").alias("stem"))
-    return naming.unique_names(stems, "folder", "stem", "ord", "name").select("pdf_id", "invoice_index", "name")
+    return naming.unique_names(stems, "folder", "stem", "pdf_id", "name", "invoice_index").select("pdf_id", "invoice_index", "name")
 
 
 @query(O.ctes(

@@ -39,7 +39,7 @@ def sensitive_reference_stats(sql):
 
 
 # A longer entity list: one row per supplier, with junk, blanks and shared names.
-_LONG_LIST = """SELECT CAST(s_suppkey AS INT) AS ord, CASE WHEN s_suppkey % 23 = 0 THEN ' ' ELSE
+_LONG_LIST = """SELECT CAST(s_suppkey AS BIGINT) AS ord, CASE WHEN s_suppkey % 23 = 0 THEN ' ' ELSE
     concat('LE', CAST(100 + s_suppkey % 40 AS STRING)) END AS le,
   CASE WHEN s_suppkey % 17 = 0 THEN 'Do not scan this one' WHEN s_suppkey % 19 = 0 THEN 'nan'
        ELSE concat(n_name, ' Handel ', CAST(s_suppkey % 30 AS STRING), ' GmbH / /', n_name, ' Corp. ',
@@ -220,7 +220,7 @@ def sensitive_match(sql):
 
 
 # Supplier list and readings for translation-first matching.
-_VN_LIST = """SELECT CAST(s_suppkey AS INT) AS ord, CAST(1000 + s_suppkey AS STRING) AS supplier_id,
+_VN_LIST = """SELECT CAST(s_suppkey AS BIGINT) AS ord, CAST(1000 + s_suppkey AS STRING) AS supplier_id,
   concat(CASE s_suppkey % 3 WHEN 0 THEN 'Công ty Điện ' WHEN 1 THEN 'Electric Company ' ELSE 'Power Branch ' END,
          n_name, CASE WHEN s_suppkey % 2 = 0 THEN ' Ltd' ELSE '' END) AS supplier_name,
   CAST(NULL AS STRING) AS alt_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""

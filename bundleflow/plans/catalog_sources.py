@@ -181,7 +181,7 @@ def expand_zip(sql):
 
 
 # ================================================================ responses ====
-_RESPONSES = """SELECT o_orderkey AS pdf_id, CAST(o_custkey AS INT) AS page_idx, o_orderkey % 8 AS kind, concat(
+_RESPONSES = """SELECT o_orderkey AS pdf_id, CAST(o_custkey % 1000 AS INT) AS page_idx, o_orderkey % 8 AS kind, concat(
   '<think>{{"supplier_name_on_page": "draft", "po_numbers": []}}</think> note {{x}} ```json ',
   CASE o_orderkey % 8
     WHEN 0 THEN concat('{{"supplier_name_on_page": "', o_orderpriority, '", "invoice_number": ', CAST(o_orderkey AS STRING), ', "po_numbers": ["PO 3500000001", "bad"], "bill_to_client_name": "A {{b}}"}}')
@@ -254,7 +254,7 @@ def inbox_stream(sql):
         "batch_id", "kofax_email", "le", "source_email", "invoice_count", "counter")
 
 
-_RUN_ENTITIES = """SELECT CAST(s_suppkey AS INT) AS ord,
+_RUN_ENTITIES = """SELECT CAST(s_suppkey AS BIGINT) AS ord,
   CASE WHEN s_suppkey % 10 = 3 THEN 'LE763' ELSE concat('LE', CAST(100 + s_suppkey % 40 AS STRING)) END AS le,
   concat('Customer ', CAST(s_suppkey AS STRING), ' Trading') AS bill_to_name, n_name AS source_site, '' AS country
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""

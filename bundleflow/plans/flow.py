@@ -14,6 +14,8 @@ from ..operators.scale import cut_lineage
 
 DOC = ["pdf_id", "invoice_index"]
 
+PLACE = ["folder", "pdf_ord", "invoice_index"]  # of a document, in the order of arrival
+
 
 @dataclass
 class References:
@@ -48,10 +50,11 @@ def documents(page_signals: DataFrame, page_fields: DataFrame, bundles: DataFram
 
 
 def output_names(docs: DataFrame) -> DataFrame:
-    """``folder, _ord, output_pdf``: ``<supplier>_<number>.pdf``, unique within its folder."""
-    stems = docs.select("folder", "_ord", text.output_stem(
+    """``folder, pdf_ord, invoice_index, output_pdf``: ``<supplier>_<number>.pdf``, unique within its folder."""
+    stems = docs.select(*PLACE, text.output_stem(
         "supplier_name", "invoice_number", "invoice_index").alias("_stem"))
-    return naming.unique_names(stems, "folder", "_stem", "_ord", "_name").select("folder", "_ord", _pdf("output_pdf"))
+    return naming.unique_names(stems, "folder", "_stem", "pdf_ord", "_name", "invoice_index").select(
+        *PLACE, _pdf("output_pdf"))
 
 
 def _pdf(name: str):
@@ -60,18 +63,18 @@ def _pdf(name: str):
 
 def vn_renames(docs: DataFrame, refs: References, entity: str = lx.VN_ENTITY) -> DataFrame:
     """Supplier match and new file name of the documents of one entity."""
-    mine = docs.where(F.col("le") == entity).select("folder", "_ord", "supplier_name", "invoice_number", "po_numbers")
+    mine = docs.where(F.col("le") == entity).select(*PLACE, "supplier_name", "invoice_number", "po_numbers")
     found = match.match_vn_supplier(mine, "supplier_name", refs.vn, refs.translations).select(
         F.col("name").alias("supplier_name"), F.col("supplier_id").alias("vn_supplier_id"),
         F.col("translated_query").alias("vn_supplier_name"))
     first_po = F.try_element_at("po_numbers", F.lit(1))
     reason = text.missing_fields("vn_supplier_id", first_po, "invoice_number")
     mine = (mine.join(found, "supplier_name", "left").select(
-        "folder", "_ord", "vn_supplier_id", "vn_supplier_name", reason.alias("vn_reason"), reason.isNull().alias("vn_renamed"),
+        *PLACE, "vn_supplier_id", "vn_supplier_name", reason.alias("vn_reason"), reason.isNull().alias("vn_renamed"),
         text.renamed_stem("vn_supplier_id", first_po, "invoice_number").alias("_stem")))
-    moved = naming.unique_names(mine.where(F.col("_stem").isNotNull()).select("folder", "_ord", "_stem"),
-                                "folder", "_stem", "_ord", "_name").select("folder", "_ord", _pdf("_moved"))
-    return mine.drop("_stem").join(moved, ["folder", "_ord"], "left")
+    moved = naming.unique_names(mine.where(F.col("_stem").isNotNull()).select(*PLACE, "_stem"),
+                                "folder", "_stem", "pdf_ord", "_name", "invoice_index").select(*PLACE, _pdf("_moved"))
+    return mine.drop("_stem").join(moved, PLACE, "left")
 
 
 def enrich(docs: DataFrame, messages: DataFrame, refs: References) -> DataFrame:
@@ -90,11 +93,9 @@ def enrich(docs: DataFrame, messages: DataFrame, refs: References) -> DataFrame:
             .fillna({"is_sensitive": False, "sensitive_score": 0, "sensitive_method": "empty",
                      "sensitive_translated": False, "le_matched": False, "le_score": 0, "le_method": "empty",
                      "le_translated": False}))
-    position = F.shiftleft(F.col("pdf_ord").cast("long"), 31) + F.col("invoice_index")  # within its folder
-    routed = cut_lineage(routing.route(tagging.derive_tags(both, messages, "folder"), refs.routing)
-                         .withColumn("_ord", position))
-    named = (routed.join(output_names(routed), ["folder", "_ord"])
-             .join(vn_renames(routed, refs), ["folder", "_ord"], "left")
+    routed = cut_lineage(routing.route(tagging.derive_tags(both, messages, "folder"), refs.routing))
+    named = (routed.join(output_names(routed), PLACE)
+             .join(vn_renames(routed, refs), PLACE, "left")
              .withColumn("output_pdf", F.coalesce("_moved", "output_pdf")).drop("_moved"))
     return routing.review_reasons(named)
 

@@ -98,7 +98,7 @@ FROM {orders} WHERE o_totalprice < 6000
 
 # Attachments: one per order, of a message per customer.
 ATTACHMENTS = """
-SELECT o_custkey AS message_id, CAST(o_orderkey AS INT) AS att_ord,
+SELECT o_custkey AS message_id, CAST(o_orderkey AS BIGINT) AS att_ord,
   CASE WHEN o_orderkey % 29 = 0 THEN 'image001.PNG'
        ELSE concat(CASE WHEN o_orderkey % 3 = 0 THEN 'Invoice ' ELSE 'INVOICE_' END,
                    CAST(o_orderkey % 4 AS STRING), CASE WHEN o_orderkey % 5 = 0 THEN '-details' ELSE '' END,
@@ -149,7 +149,7 @@ FROM {lineitem}
 
 # Vietnamese supplier list: accents, artifacts, junk alternates.
 VN = """
-SELECT CAST(p_partkey AS INT) AS ord, CAST(1000000000 + p_partkey % 1500 AS STRING) AS supplier_id,
+SELECT CAST(p_partkey AS BIGINT) AS ord, CAST(1000000000 + p_partkey % 1500 AS STRING) AS supplier_id,
   concat(CASE WHEN p_partkey % 4 = 0 THEN replace(replace(p_name, 'a', 'á'), 'd', 'đ') ELSE p_name END,
          CASE p_partkey % 3 WHEN 0 THEN ' Co., Ltd' WHEN 1 THEN ' JSC' ELSE '  Corp' END,
          ' ', CAST(p_partkey % 200 AS STRING), CASE WHEN p_partkey % 10 = 0 THEN '+B33' ELSE '' END) AS supplier_name,

@@ -50,12 +50,15 @@ def _field(v: Column, path: str) -> tuple[Column, Column]:
     return value, F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
+_INTEGER = r"^DECIMAL\([0-9]+,0\)$"  # integers beyond 64 bits
+
+
 def parse_signals(responses: DataFrame) -> DataFrame:
     """``page_signals`` from ``pdf_id, page_idx, raw_text``; wrong types fail the page."""
     v = F.try_parse_json("_json")
     supplier, s_type = _field(v, "supplier_name_on_page")
     number, n_type = _field(v, "invoice_number")
-    ok = F.col("_json").isNotNull() & s_type.isin("STRING", "VOID") & n_type.isin("STRING", "BIGINT", "VOID")
+    ok = F.col("_json").isNotNull() & s_type.isin("STRING", "VOID") & (n_type.isin("STRING", "BIGINT", "VOID") | n_type.rlike(_INTEGER))
     rows = responses.withColumn("_json", pick_json("supplier_name_on_page")(F.col("raw_text")))
     return rows.select(
         "pdf_id", "page_idx", F.coalesce(ok, F.lit(False)).alias("read_ok"),
