@@ -14,17 +14,14 @@ from .registry import query
 
 
 # ============================================================ segmentation ====
-def _blocks(sql) -> bool:
-    """Page numbers come from line numbers, so one column answers for all pages."""
-    return segment.needs_blocks(sql("SELECT l_linenumber - 1 AS page_idx FROM {lineitem}"))
-
-
 def _equal_roles(sql) -> DataFrame:
     """Page roles with the supplier compared by equality."""
-    blocks = _blocks(sql)
-    pages = segment.with_key_supplier(segment.clean_signals(sql(P.SIGNALS)), blocks)
     same = F.coalesce(F.col("supplier_name_on_page") == F.col("key_supplier"), F.lit(False))
-    return segment.segment_pages(pages.withColumn("supplier_ok", same), blocks=blocks)
+
+    def run(pages: DataFrame, cut: bool) -> DataFrame:
+        return segment.segment_pages(segment.with_key_supplier(pages, cut).withColumn("supplier_ok", same), blocks=cut)
+
+    return segment.by_length(segment.clean_signals(sql(P.SIGNALS)), run)
 
 
 @query(O.ctes(**O.roles()) + "SELECT pdf_id, page_idx, rule, role, invoice_index FROM roles")
@@ -44,7 +41,7 @@ SELECT pdf_id, page_idx, key_supplier, coalesce(score >= 85, false) AS supplier_
 FROM k LEFT JOIN ps ON a = regexp_replace(lower(supplier_name_on_page), '[^a-z0-9]', '', 'g')
                    AND b = regexp_replace(lower(key_supplier), '[^a-z0-9]', '', 'g')""")
 def key_supplier_fuzzy(sql):
-    pages = segment.with_supplier_ok(segment.with_key_supplier(segment.clean_signals(sql(P.SIGNALS)), _blocks(sql)))
+    pages = segment.with_supplier_ok(segment.with_key_supplier(segment.clean_signals(sql(P.SIGNALS))))
     return pages.select("pdf_id", "page_idx", "key_supplier", "supplier_ok")
 
 
