@@ -52,6 +52,33 @@ def test_unique_names_against_loop(spark):
     assert got == {(d, i): n for d, stems in dirs.items() for i, n in enumerate(numbered(stems))}
 
 
+def test_names_follow_orders_beyond_32_bits(spark):
+    rows = [("d", "a", o, t) for o in (3, 2**32, 5 * 10**9, 2**40) for t in (2, 1)]
+    out = naming.unique_names(spark.createDataFrame(rows, "d string, s string, o long, t int"), "d", "s", "o", "name", "t")
+    got = {(x["o"], x["t"]): x["name"] for x in out.collect()}
+    want = ["a"] + [f"a_{k}" for k in range(2, 9)]
+    assert [got[k] for k in sorted(got)] == want
+
+
+def test_attention_entries_do_not_clash(spark):
+    folders = spark.createDataFrame([("f1", True), ("f2", True), ("f3", False)], "folder string, quarantined boolean")
+    mails = spark.createDataFrame([("f1", "/in/1/mail.eml"), ("f2", "/in/2/mail.eml"), ("f3", "/in/3/mail.eml")],
+                                  "folder string, msg_path string")
+    none = spark.createDataFrame([], "batch_id string, output_pdf string")
+    got = {r["entry"]: r["path"] for r in reports.attention_manifest(folders, mails, none, none).collect()}
+    assert sorted(got) == ["quarantined_source_emails/mail.eml", "quarantined_source_emails/mail_2.eml"]
+    assert sorted(got.values()) == ["/in/1/mail.eml", "/in/2/mail.eml"]
+
+
+def test_repeated_translations_give_one_row(spark):
+    entries = spark.createDataFrame([(1, "acme trading", "Acme Trading")], "ref_ord long, norm string, original string")
+    names = spark.createDataFrame([("電信公司",), ("Acme Trading",)], "n string")
+    known = spark.createDataFrame([("電信公司", "Acme Trading"), ("電信公司", "Other")], "src string, dst string")
+    got = match.match_sensitive(names, "n", entries, known).collect()
+    assert sorted(r["name"] for r in got) == ["Acme Trading", "電信公司"]
+    assert {r["name"]: r["translated_query"] for r in got}["電信公司"] == "Acme Trading"
+
+
 # ------------------------------------------------------------------ pairing --
 def grouped(files):
     """Names and groups of one message, read straight from the rules."""

@@ -201,3 +201,11 @@ def test_reports_are_written_and_read_back(spark, tmp_path):
         reports.write_report(df, str(tmp_path / fmt), fmt)
         back = spark.read.option("header", True).format(fmt).load(str(tmp_path / fmt)).first()
         assert (back["Source Email"], int(back["Total"])) == ("a", 1)
+
+
+def test_integers_beyond_64_bits_are_numbers(spark):
+    rows = [(1, 0, '{"supplier_name_on_page": "A", "invoice_number": 123456789012345678901}'),
+            (2, 0, '{"supplier_name_on_page": "A", "invoice_number": 1.5}')]
+    df = spark.createDataFrame(rows, "pdf_id long, page_idx int, raw_text string")
+    got = {r["pdf_id"]: (r["read_ok"], r["invoice_number"]) for r in responses.parse_signals(df).collect()}
+    assert got == {1: (True, "123456789012345678901"), 2: (False, None)}

@@ -93,3 +93,10 @@ def test_translation_cleanup(spark):
 def test_path_safety(spark):
     for raw, want in {"a/b": False, "../a": True, "a\\..\\b": True, "/a": True, "a..b": False}.items():
         assert one(spark, T.unsafe_path(F.lit(raw))) is want
+
+
+def test_zone_names_and_short_years(spark):
+    cases = {"Mon, 5 Jan 2026 10:00:00 EST": "2026-01-05T10:00:00-05:00", "5 Jan 26 10:00 PDT": "2026-01-05T10:00:00-07:00",
+             "5 Jan 99 10:00 GMT": "1999-01-05T10:00:00+00:00", "5 Jan 2026 10:00:00 XYZ": "2026-01-05T10:00:00"}
+    for raw, want in cases.items():
+        assert one(spark, T.date_to_iso(F.lit(raw))) == want
