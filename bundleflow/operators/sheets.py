@@ -2,9 +2,9 @@
 
 Cells arrive as rows: ``folder, workbook, sheet_idx, sheet_name, value``.  A number of
 digits only is compared with the digit runs of a cell, any other number with the
-letters and digits of the whole cell, in both directions.  Each comparison is an
-equi-join on the text being looked for, so a folder with many cells and many bundles
-never forms pairs.
+letters and digits of the whole cell, in both directions.  The numbers a folder looks
+for travel as arrays of about ``PACK`` numbers; each cell meets each array once, is
+tested inside its row, and leaves only as hits.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .routing import substrings
+
+PACK = 256
 
 
 def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> DataFrame:
@@ -30,43 +31,38 @@ def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> D
                              text.ascii_alnum("invoice_number").alias("norm"))
               .withColumn("norm", F.when(digits.isNull() & (norm != ""), norm)))
 
-    # What a folder looks for decides which keys its cells must offer: digit runs
-    # ("d"), the whole cell ("c", a part of the number), and pieces of the cell as long
-    # as a number ("n").
-    looks = wanted.groupBy("folder").agg(F.count_if(digits.isNotNull()).alias("n_digits"),
-                                         F.collect_set(F.length("norm")).alias("lengths"))
-    open_ = (single.where(F.col("n_books") == 1).join(looks, "folder")
-             .select("folder", "workbook", "n_digits", "lengths"))
+    # Distinct numbers of a folder, dealt to arrays; a hash keeps their sizes even.
+    numbers = wanted.select("folder", digits, norm).where(digits.isNotNull() | norm.isNotNull()).distinct()
+    open_ = single.where(F.col("n_books") == 1).select("folder", F.col("workbook").alias("_book"))
+    packs = (numbers.groupBy("folder").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_packs"))
+             .join(numbers, "folder").join(open_, "folder")
+             .groupBy("folder", "_book", F.pmod(F.xxhash64("digits", "norm"), "_packs").alias("_pack"))
+             .agg(F.collect_list("digits").alias("_digits"), F.collect_list("norm").alias("_norms"))
+             .drop("_pack"))
     none = F.array().cast("array<string>")
 
-    def tagged(letter, values):
-        return F.transform(values, lambda v: F.concat(F.lit(letter), v))
-
-    def pieces(cell, n):
-        at = F.sequence(F.lit(1), F.length(cell) - n + 1)
-        return F.when(F.length(cell) >= n, F.transform(at, lambda i: F.substring(cell, i, n))).otherwise(none)
-
-    lengths = F.col("lengths")
+    def same_digits(v):
+        return F.when(F.size("_digits") > 0, F.array_intersect(F.col("_digits"), text.digit_runs(v))).otherwise(none)
 
-    def whole_and_pieces(c):
-        cut = F.flatten(F.transform(lengths, lambda n: pieces(c, n)))
-        return F.concat(F.array(F.concat(F.lit("c"), c)), tagged("n", cut))
+    def inside(v):
+        return F.when(F.size("_norms") > 0, text.let(text.ascii_alnum(v), lambda c: F.filter(
+            "_norms", lambda t: F.contains(c, t) | F.contains(t, c)))).otherwise(none)
 
-    def keys(v):
-        digits_ = F.when(F.col("n_digits") > 0, tagged("d", text.digit_runs(v))).otherwise(none)
-        other = F.when(F.size(lengths) > 0, text.let(text.ascii_alnum(v), whole_and_pieces)).otherwise(none)
-        return F.when(v != "", F.concat(digits_, other)).otherwise(none)
+    def hits_of(v):
+        return F.when(v != "", F.concat(
+            F.transform(same_digits(v), lambda d: F.struct(d.alias("digits"), F.lit(None).cast("string").alias("norm"))),
+            F.transform(inside(v), lambda t: F.struct(F.lit(None).cast("string").alias("digits"), t.alias("norm")))))
 
-    offered = (cells.join(open_, ["folder", "workbook"])
-               .select("folder", "sheet_idx", "sheet_name",
-                       F.explode(text.let(text.strip("value"), keys)).alias("k")).distinct())
-    asked = wanted.select("pdf_id", "folder", F.explode(F.concat(
-        F.when(digits.isNotNull(), F.array(F.concat(F.lit("d"), digits))).otherwise(none),
-        F.when(norm.isNotNull(), F.concat(F.array(F.concat(F.lit("n"), norm)), tagged("c", substrings("norm"))))
-        .otherwise(none))).alias("k"))
-    hits = offered.join(asked, ["folder", "k"]).select("pdf_id", "sheet_idx", "sheet_name").distinct()
-    best = hits.groupBy("pdf_id").agg(F.max_by("sheet_name", "sheet_idx").alias("sheet_name"),
-                                      F.count(F.lit(1)).alias("n_candidates"))
+    # hits are grouped by a value of their own, so a folder with very many cells stays free to be split
+    target = F.struct("folder", F.col("hit.digits").alias("digits"), F.col("hit.norm").alias("norm")).alias("target")
+    hits = (cells.join(packs, "folder").where(F.col("workbook") == F.col("_book"))
+            .select("folder", "sheet_idx", "sheet_name", F.explode(text.let(text.strip("value"), hits_of)).alias("hit"))
+            .select(target, "sheet_idx", "sheet_name").distinct())
+    found = (hits.groupBy("target").agg(F.max_by("sheet_name", "sheet_idx").alias("sheet_name"),
+                                        F.count(F.lit(1)).alias("n_candidates")).select("target.*", "sheet_name", "n_candidates"))
+    alike = [wanted[c].eqNullSafe(found[c]) for c in ("digits", "norm")]
+    best = (wanted.join(found, [wanted["folder"] == found["folder"], *alike])
+            .select("pdf_id", "sheet_name", "n_candidates"))
     out = targets.select("pdf_id", "folder").join(single, "folder", "left").join(best, "pdf_id", "left")
     n = F.coalesce("n_books", F.lit(0))
     return out.select(
