@@ -20,6 +20,7 @@ HEADLINE = [
     "normalize_names", "normalize_entities", "name_similarity", "le_alias_build", "le_fuzzy_top1", "sensitive_match",
     "vn_match", "tag_documents", "route_invoices", "quarantine_split", "batch_assign", "success_rows", "invoice_report",
     "run_stats", "pair_attachments", "unique_names", "sheet_match", "parse_eml", "expand_zip", "parse_signals",
+    "whole_run_report", "whole_run_batches",
 ]
 
 
