@@ -372,23 +372,6 @@ def clean_translation(raw, source) -> Column:
 
 
 # --- page lists -------------------------------------------------------------
-def merge_runs(runs) -> Column:
-    """Join touching ``struct(lo, hi)`` runs of a sorted array."""
-    runs = _c(runs)
-    empty = F.filter(runs, lambda r: F.lit(False))
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], r["hi"]).alias("hi"))))
-        return (F.when(F.size(acc) == 0, F.array(r))
-                .when(last["hi"] + 1 >= r["lo"], joined)
-                .otherwise(F.concat(acc, F.array(r))))
-
-    return F.aggregate(runs, empty, step)
-
-
 def format_runs(runs) -> Column:
     """``1–3, 5`` from an array of runs, a dash when it is empty."""
     runs = _c(runs)

@@ -14,14 +14,23 @@ from .registry import query
 
 
 # ============================================================ segmentation ====
-def _equal_roles(sql) -> DataFrame:
+def _by_equality(pages: DataFrame, cut: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     """Page roles with the supplier compared by equality."""
     same = F.coalesce(F.col("supplier_name_on_page") == F.col("key_supplier"), F.lit(False))
+    keyed = segment.with_key_supplier(pages, cut).withColumn("supplier_ok", same)
+    return segment.segment_pages(keyed, blocks=cut, keep=keep)
+
+
+def _equal_roles(sql) -> DataFrame:
+    return segment.by_length(segment.clean_signals(sql(P.SIGNALS)), _by_equality)
+
 
-    def run(pages: DataFrame, cut: bool) -> DataFrame:
-        return segment.segment_pages(segment.with_key_supplier(pages, cut).withColumn("supplier_ok", same), blocks=cut)
+def _merged(signals: DataFrame, page_fields: DataFrame) -> DataFrame:
+    """From page readings to merged documents; each bundle meets its pages and fields once."""
+    def run(rows: DataFrame, cut: bool) -> DataFrame:
+        return fields.merge_read(_by_equality(fields.take_fields(rows, cut), cut, fields.READ))
 
-    return segment.by_length(segment.clean_signals(sql(P.SIGNALS)), run)
+    return segment.by_length(fields.beside_signals(signals, page_fields), run)
 
 
 @query(O.ctes(**O.roles()) + "SELECT pdf_id, page_idx, rule, role, invoice_index FROM roles")
@@ -108,9 +117,8 @@ _PO = O.quote(lx.PO_PATTERN)
 SELECT c.pdf_id, c.invoice_index, bill_to, coalesce(po_list, '') AS po_list, n_main_pages
 FROM c LEFT JOIN b USING (pdf_id, invoice_index) LEFT JOIN pl USING (pdf_id, invoice_index)""")
 def early_stop_merge(sql):
-    merged = fields.merge_fields_early_stop(_equal_roles(sql), _fields(sql))
-    return merged.select("pdf_id", "invoice_index", "bill_to", F.array_join("po_numbers", ",").alias("po_list"),
-                         "n_main_pages")
+    return _merged(sql(P.SIGNALS), _fields(sql)).select(
+        "pdf_id", "invoice_index", "bill_to", F.array_join("po_numbers", ",").alias("po_list"), "n_main_pages")
 
 
 _PO_TEXT = """SELECT o_orderkey, concat('PO ', CAST(3500000000 + o_orderkey AS STRING), ';',

@@ -42,8 +42,9 @@ def documents(page_signals: DataFrame, page_fields: DataFrame, bundles: DataFram
     an error hold no documents.
     """
     good = bundles.where(F.col("error").isNull()).drop("error")
-    roles = cut_lineage(segment.segment(page_signals.join(good.select("pdf_id"), "pdf_id", "left_semi")))
-    merged = fields.merge_fields_early_stop(roles, page_fields).select(*DOC, "bill_to", "po_numbers")
+    rows = fields.beside_signals(page_signals, page_fields).join(good.select("pdf_id"), "pdf_id", "left_semi")
+    roles = cut_lineage(fields.segment_with_fields(rows))
+    merged = fields.merge_read(roles).select(*DOC, "bill_to", "po_numbers")
     docs = (segment.document_heads(roles).join(segment.page_runs(roles), DOC)
             .join(merged, DOC, "left").join(good, "pdf_id"))
     return docs.withColumn("po_numbers", F.coalesce("po_numbers", F.array().cast("array<string>")))

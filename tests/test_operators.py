@@ -315,3 +315,13 @@ def test_segmentation_sorts_and_shuffles_pages_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", plan)) == 1
     # Python scores hide the partitioning, so spelling tolerance costs a second shuffle and no more
     assert _plan(segment.segment(pages, blocks=False)).count("Exchange hashpartitioning") == 2
+
+
+def test_fields_and_segments_share_one_exchange(spark):
+    from bundleflow.operators import fields
+    from bundleflow.plans.catalog_pages import _by_equality
+    signals = spark.createDataFrame([(1, 0, True, "a", "1")], "pdf_id long, page_idx int, read_ok boolean, supplier_name_on_page string, invoice_number string")
+    data = spark.createDataFrame([(1, 0, True, "b", ["3500000001"])], "pdf_id long, page_idx int, read_ok boolean, bill_to string, po_numbers array<string>")
+    rows = fields.take_fields(fields.beside_signals(signals, data), False)
+    plan = _plan(fields.merge_read(_by_equality(rows, False, fields.READ)))
+    assert plan.count("Exchange hashpartitioning") == 1
