@@ -27,10 +27,8 @@ def _equal_roles(sql) -> DataFrame:
 
 def _merged(signals: DataFrame, page_fields: DataFrame) -> DataFrame:
     """From page readings to merged documents; each bundle meets its pages and fields once."""
-    def run(rows: DataFrame, cut: bool) -> DataFrame:
-        return fields.merge_read(_by_equality(fields.take_fields(rows, cut), cut, fields.READ))
-
-    return segment.by_length(fields.beside_signals(signals, page_fields), run)
+    return fields.by_bundle(signals, page_fields,
+                            lambda pages, cut: fields.merge_read(_by_equality(pages, cut, fields.READ)))
 
 
 @query(O.ctes(**O.roles()) + "SELECT pdf_id, page_idx, rule, role, invoice_index FROM roles")

@@ -42,8 +42,8 @@ def documents(page_signals: DataFrame, page_fields: DataFrame, bundles: DataFram
     an error hold no documents.
     """
     good = bundles.where(F.col("error").isNull()).drop("error")
-    rows = fields.beside_signals(page_signals, page_fields).join(good.select("pdf_id"), "pdf_id", "left_semi")
-    roles = cut_lineage(fields.segment_with_fields(rows))
+    read = page_signals.join(good.select("pdf_id"), "pdf_id", "left_semi")
+    roles = cut_lineage(fields.segment_with_fields(read, page_fields))
     merged = fields.merge_read(roles).select(*DOC, "bill_to", "po_numbers")
     docs = (segment.document_heads(roles).join(segment.page_runs(roles), DOC)
             .join(merged, DOC, "left").join(good, "pdf_id"))
