@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 from ..functions import lexicon as lx
 from ..operators import fields, segment
+from ..sources import responses
 from . import oracles as O
 from . import projections as P
 from .registry import query
@@ -93,32 +94,60 @@ def _fields(sql) -> DataFrame:
 _PO = O.quote(lx.PO_PATTERN)
 
 
-@query(O.ctes(
-    **O.roles(), f=P.ansi(P.FIELDS),
-    m=f"""SELECT r.pdf_id, r.invoice_index, r.page_idx,
-          CASE WHEN f.read_ok AND lower(bill_to) <> 'n/a' THEN bill_to END AS bill,
-          CASE WHEN f.read_ok THEN regexp_extract_all(po_text, {_PO}, 1) ELSE [] END AS pos
-          FROM roles r LEFT JOIN f USING (pdf_id, page_idx) WHERE r.role = 'main'""",
-    w="""SELECT *, coalesce(bool_or(bill IS NOT NULL) OVER p, false) AS had_bill,
-         coalesce(bool_or(len(pos) > 0) OVER p, false) AS had_po FROM m
-         WINDOW p AS (PARTITION BY pdf_id, invoice_index ORDER BY page_idx
-                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    kept="SELECT * FROM w WHERE NOT (had_bill AND had_po)",
-    pu="""SELECT pdf_id, invoice_index, po, min(page_idx * 1000 + seq) AS first_at FROM (
-            SELECT pdf_id, invoice_index, page_idx, unnest(pos) AS po, generate_subscripts(pos, 1) AS seq FROM kept)
-          GROUP BY pdf_id, invoice_index, po""",
-    pl="""SELECT pdf_id, invoice_index, string_agg(po, ',' ORDER BY first_at) AS po_list FROM pu
-          GROUP BY pdf_id, invoice_index""",
-    b="""SELECT pdf_id, invoice_index, first(bill ORDER BY page_idx) FILTER (bill IS NOT NULL) AS bill_to
-         FROM kept GROUP BY pdf_id, invoice_index""",
-    c="SELECT pdf_id, invoice_index, count(*) AS n_main_pages FROM m GROUP BY pdf_id, invoice_index") + """
+def _merge_sql(**readings: str) -> str:
+    """Check SQL of the merged documents; ``readings`` may replace ``sig`` and ``f``."""
+    return O.ctes(
+        **(O.roles() | {"f": P.ansi(P.FIELDS)} | readings),
+        m=f"""SELECT r.pdf_id, r.invoice_index, r.page_idx,
+              CASE WHEN f.read_ok AND lower(bill_to) <> 'n/a' THEN bill_to END AS bill,
+              CASE WHEN f.read_ok THEN regexp_extract_all(po_text, {_PO}, 1) ELSE [] END AS pos
+              FROM roles r LEFT JOIN f USING (pdf_id, page_idx) WHERE r.role = 'main'""",
+        w="""SELECT *, coalesce(bool_or(bill IS NOT NULL) OVER p, false) AS had_bill,
+             coalesce(bool_or(len(pos) > 0) OVER p, false) AS had_po FROM m
+             WINDOW p AS (PARTITION BY pdf_id, invoice_index ORDER BY page_idx
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        kept="SELECT * FROM w WHERE NOT (had_bill AND had_po)",
+        pu="""SELECT pdf_id, invoice_index, po, min(page_idx * 1000 + seq) AS first_at FROM (
+                SELECT pdf_id, invoice_index, page_idx, unnest(pos) AS po, generate_subscripts(pos, 1) AS seq FROM kept)
+              GROUP BY pdf_id, invoice_index, po""",
+        pl="""SELECT pdf_id, invoice_index, string_agg(po, ',' ORDER BY first_at) AS po_list FROM pu
+              GROUP BY pdf_id, invoice_index""",
+        b="""SELECT pdf_id, invoice_index, first(bill ORDER BY page_idx) FILTER (bill IS NOT NULL) AS bill_to
+             FROM kept GROUP BY pdf_id, invoice_index""",
+        c="SELECT pdf_id, invoice_index, count(*) AS n_main_pages FROM m GROUP BY pdf_id, invoice_index") + """
 SELECT c.pdf_id, c.invoice_index, bill_to, coalesce(po_list, '') AS po_list, n_main_pages
-FROM c LEFT JOIN b USING (pdf_id, invoice_index) LEFT JOIN pl USING (pdf_id, invoice_index)""")
+FROM c LEFT JOIN b USING (pdf_id, invoice_index) LEFT JOIN pl USING (pdf_id, invoice_index)"""
+
+
+@query(_merge_sql())
 def early_stop_merge(sql):
     return _merged(sql(P.SIGNALS), _fields(sql)).select(
         "pdf_id", "invoice_index", "bill_to", F.array_join("po_numbers", ",").alias("po_list"), "n_main_pages")
 
 
+# The same pages as model responses; some pages got none.
+_ALL_PAGES = "SELECT pdf_id, page_idx FROM (" + P.SIGNALS + ")"
+_SIGNAL_ANSWERS = """SELECT pdf_id, page_idx, concat('```json {{"supplier_name_on_page": "', supplier_name_on_page, '", "invoice_number": ',
+  CASE WHEN invoice_number IS NULL THEN 'null' ELSE concat('"', invoice_number, '"') END, '}} ```') AS raw_text
+FROM (""" + P.SIGNALS + """) WHERE read_ok AND (pdf_id + page_idx) % 13 <> 0"""
+_FIELD_ANSWERS = """SELECT pdf_id, page_idx, concat('{{"bill_to_client_name": ',
+  CASE WHEN bill_to IS NULL THEN 'null' ELSE concat('"', bill_to, '"') END, ', "po_numbers": [',
+  CASE WHEN po_text IS NULL THEN '' ELSE concat('"', po_text, '"') END, ']}}') AS raw_text
+FROM (""" + P.FIELDS + """) WHERE read_ok AND (pdf_id + page_idx) % 7 <> 0"""
+_SEEN = "read_ok AND (pdf_id + page_idx) % 13 <> 0"
+
+
+@query(_merge_sql(
+    sig=f"""SELECT pdf_id, page_idx, {_SEEN} AS read_ok, CASE WHEN {_SEEN} THEN supplier_name_on_page END AS supplier_name_on_page,
+        CASE WHEN {_SEEN} THEN invoice_number END AS invoice_number FROM ({P.ansi(P.SIGNALS)})""",
+    f=f"SELECT * FROM ({P.ansi(P.FIELDS)}) WHERE (pdf_id + page_idx) % 7 <> 0"))
+def documents_from_responses(sql):
+    """From the raw text of model responses to merged documents; pages without a response count as failed."""
+    readings = responses.page_readings(sql(_ALL_PAGES), sql(_SIGNAL_ANSWERS), sql(_FIELD_ANSWERS))
+    return _merged(*readings).select(
+        "pdf_id", "invoice_index", "bill_to", F.array_join("po_numbers", ",").alias("po_list"), "n_main_pages")
+
+
 _PO_TEXT = """SELECT o_orderkey, concat('PO ', CAST(3500000000 + o_orderkey AS STRING), ';',
   CAST(4501000000 + o_custkey AS STRING), ' x', CAST(7000000000 + o_custkey AS STRING), ' ',
   CAST(3500000000 + o_orderkey AS STRING), '/', CAST(5906000000 + o_custkey AS STRING), ' 99',

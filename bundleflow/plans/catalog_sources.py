@@ -226,14 +226,18 @@ def clean_translations(sql):
 
 
 # ============================================================ stream and run ====
-@query(O.ctes(**_RUN) + "SELECT batch_id, kofax_email, le, folder AS source_email, invoice_count, counter FROM batches")
+_DELIVERIES = 3
+
+
+@query(O.ctes(**{**_RUN, "cnt": f"""SELECT *, 1 + coalesce(sum(invoice_count) OVER (ORDER BY folder_ord % {_DELIVERIES}, folder_ord,
+  kofax_email, le ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS counter FROM grp"""})
+       + "SELECT batch_id, kofax_email, le, folder AS source_email, invoice_count, counter FROM batches")
 def inbox_stream(sql):
-    """Orders arrive as files; each micro-batch is quarantined, batched and numbered on."""
+    """Orders arrive in deliveries of whole mails; each is one micro-batch that is quarantined, batched and numbered on."""
     spark = sql.spark
     checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/inbox-{uuid.uuid4()}"
     orders = spark.read.parquet(f"{sql.sf_dir.rstrip('/')}/orders.parquet")
-    source = inbox.file_stream(spark, sql.sf_dir, orders.schema, glob="orders.parquet")
     counter = inbox.DayCounter(base)
 
     def handle(new: DataFrame, batch_id: int) -> dict[str, DataFrame]:
@@ -248,6 +252,9 @@ def inbox_stream(sql):
         counter.record(batches, RUN_DATE, batch_id)
         return {"batches": batches}
 
-    inbox.run_inbox(source, base, f"{base}/checkpoint", handle, f"inbox_{uuid.uuid4().hex}").awaitTermination()
+    for k in range(_DELIVERIES):
+        orders.where(F.col("o_custkey") % _DELIVERIES == k).write.mode("append").parquet(f"{base}/new")
+        source = inbox.file_stream(spark, f"{base}/new", orders.schema)
+        inbox.run_inbox(source, base, f"{base}/checkpoint", handle, f"inbox_{uuid.uuid4().hex}").awaitTermination()
     return inbox.read_table(spark, base, "batches").select(
         "batch_id", "kofax_email", "le", "source_email", "invoice_count", "counter")

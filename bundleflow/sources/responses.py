@@ -83,6 +83,20 @@ def parse_fields(responses: DataFrame) -> DataFrame:
         .alias("po_numbers"))
 
 
+def page_readings(pages: DataFrame, signal_responses: DataFrame, field_responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``page_signals`` and ``page_fields``, the input of a run, for all ``pages(pdf_id, page_idx)``.
+
+    A page has one response of each kind at most; without one it is a failed page.
+    """
+    wanted = pages.select("pdf_id", "page_idx").distinct()
+
+    def of_all(parsed: DataFrame) -> DataFrame:
+        return (wanted.join(parsed, ["pdf_id", "page_idx"], "left")
+                .withColumn("read_ok", F.coalesce("read_ok", F.lit(False))))
+
+    return of_all(parse_signals(signal_responses)), of_all(parse_fields(field_responses))
+
+
 def translations(responses: DataFrame) -> DataFrame:
     """``translations(src, dst)`` from ``src, raw_text``."""
     return responses.select("src", text.clean_translation("raw_text", "src").alias("dst"))

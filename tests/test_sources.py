@@ -108,6 +108,19 @@ def test_model_responses(spark):
     assert got == {i: w for i, (_, w) in enumerate(cases)}
 
 
+def test_pages_without_response_fail(spark):
+    pages = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "pdf_id long, page_idx int")
+    signals = spark.createDataFrame([(1, 0, '{"supplier_name_on_page": "A"}')], "pdf_id long, page_idx int, raw_text string")
+    data = spark.createDataFrame([(1, 1, '{"po_numbers": ["3500000001"]}'), (9, 9, "{}")], signals.schema)
+    read, found = responses.page_readings(pages, signals, data)
+    assert sorted((r[0], r[1], r["read_ok"], r["supplier_name_on_page"]) for r in read.collect()) == [
+        (1, 0, True, "A"), (1, 1, False, None), (2, 0, False, None)]
+    assert sorted((r[0], r[1], r["read_ok"], r["po_numbers"]) for r in found.collect()) == [
+        (1, 0, False, None), (1, 1, True, ["3500000001"]), (2, 0, False, None)]
+    empty = pages.where("false")
+    assert all(t.count() == 0 for t in responses.page_readings(empty, signals, data))
+
+
 def test_columns_are_found_by_title(spark):
     df = spark.createDataFrame([(0, "LE1", "Acme", "Paris", "FR")], ["ord", " Legal Entity (LE)", "Bill to Name", "Source  Site", "Country"])
     assert sheets.resolve_columns(df, sheets.ENTITY_COLUMNS, keep=("ord",)).columns == ["ord", "le", "bill_to_name", "source_site", "country"]
