@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Test items give word n-grams.  One pass over the texts joins them with every text: where n-grams of an item occur, the
-   passage around them (at most four item lengths of words) is noted with the n-grams it holds.
-2. Occurrences of every n-gram are counted over all passages.  An item's seeds are its rare n-grams: the least frequent
-   one of any ``STRIDE`` neighbours, and all that occur at most ``SPREAD`` times as often as the item's rarest.  So a
-   copied stretch always holds a seed, however often the item was copied, and common phrases start nothing.
-3. Passages with a seed are aligned with their item, word by word (match 2, mismatch and gap -1).  The score is the best
-   local alignment over that of the whole item; pairs that reach ``THRESHOLD`` are reported.
+1. Test items give word n-grams, the seeds.  One pass over the texts meets them with every text: where n-grams of an item
+   occur, the passage around them (at most four item lengths of words) is taken.
+2. A passage can match no more words than it shares with its item, each counted as often as both have it.  Passages
+   that cannot reach the threshold by that bound leave; how often an n-gram or a copy occurs decides nothing.
+3. The others are aligned with their item, word by word (match 2, mismatch and gap -1).  The score is the best local
+   alignment over that of the whole item; pairs that reach ``THRESHOLD`` are reported.
+
+So every text in which three words of an item stand in a row is judged by its alignment alone; edits that leave no such
+three words are not seen.
 
 Test items are taken in blocks of at most ``BLOCK_CHARS`` characters (one item more at most), each block a pass of its
 own, so what a task holds of the benchmark is bounded.
@@ -26,16 +28,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
 N = 3
-STRIDE = 3
-SPREAD = 4
 THRESHOLD = 0.5
 BLOCK_CHARS = 4_000_000
+#: Words of passages that are held before they are aligned, and cells of one alignment grid.
+HELD_WORDS = 500_000
 GAP = 1.0
 
 _WORD = re.compile(r"\w+")
@@ -53,12 +53,10 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], np.int64)
                       for _, t in rows]
+        self.counted = [np.unique(w, return_counts=True) for w in self.words]
         grams: dict[int, list[int]] = {}
-        self.item_grams: list[np.ndarray] = []
         for k, w in enumerate(self.words):
-            keys = self.keys(w)
-            self.item_grams.append(keys)
-            for key in np.unique(keys).tolist():
+            for key in np.unique(self.keys(w)).tolist():
                 grams.setdefault(key, []).append(k)
         self.sorted = np.array(sorted(grams), np.int64)
         self.holders = [grams[g] for g in self.sorted.tolist()]
@@ -74,33 +72,84 @@ class Items:
             key = key * size + numbers[k:n + k]
         return key
 
+    def shared(self, item: int, numbers: np.ndarray) -> int:
+        """Words that an item and a passage have in common, each as often as both have it."""
+        own, often = self.counted[item]
+        place = np.searchsorted(own, numbers)
+        place[place == len(own)] = 0
+        here = np.bincount(place[own[place] == numbers], minlength=len(own))
+        return int(np.minimum(here, often).sum())
+
 
-def _passages(found: Iterator[tuple[int, int]], length: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(first, last, n-grams): places of one item's n-grams gathered in stretches of at most two item lengths."""
+def _passages(found: Iterator[int], length: int) -> Iterator[tuple[int, int]]:
+    """(first, last): places of one item's n-grams gathered in stretches of at most two item lengths."""
     first = last = None
-    held: list[int] = []
-    for at, gram in found:
+    for at in found:
         if first is not None and (at - last > length or at - first > 2 * length):
-            yield first, last, held
+            yield first, last
             first = None
         if first is None:
-            first, held = at, []
+            first = at
         last = at
-        held.append(gram)
     if first is not None:
-        yield first, last, held
+        yield first, last
 
 
-def _met(docs: DataFrame, items: Items, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, mark, item, start, words, grams): passages of the texts around n-grams of items."""
-    columns = "doc_id long, mark string, item long, start long, words binary, grams array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("item", pa.int64()), ("start", pa.int64()),
-                        ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
+def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best local scores of passages (rows padded with -2) with an item, and the last passage word of each.
+
+    All rows advance together; within a row of the score matrix a running maximum stands for the gap along it.
+    """
+    rows, width = passages.shape
+    above = np.zeros((rows, width + 1))
+    slope = GAP * np.arange(1, width + 1)
+    best, where = np.zeros(rows), np.zeros(rows, np.int64)
+    real = passages != -2
+    for w in item:
+        here = np.maximum(above[:, :-1] + np.where(passages == w, 2.0, -1.0), above[:, 1:] - GAP)
+        np.maximum(here, 0, out=here)
+        here = np.maximum.accumulate(here + slope, axis=1) - slope
+        here[~real] = 0
+        top = here.argmax(1)
+        score = here[np.arange(rows), top]
+        better = score > best
+        best[better], where[better] = score[better], top[better]
+        above[:, 1:] = here
+    return best, where
+
+
+def _judged(items: Items, item: int, passages: list[np.ndarray], threshold: float) -> Iterator[tuple[int, float, int]]:
+    """(place in the list, score, last word) of the passages that count as copies of an item."""
+    own = items.words[item]
+    step = max(1, HELD_WORDS // max(map(len, passages)))
+    for a in range(0, len(passages), step):
+        part = passages[a:a + step]
+        grid = np.full((len(part), max(map(len, part))), -2, np.int64)
+        for k, p in enumerate(part):
+            grid[k, :len(p)] = p
+        score, where = align(own, grid)
+        score /= 2.0 * len(own)
+        for k in np.flatnonzero(score >= threshold).tolist():
+            yield a + k, float(score[k]), int(where[k])
+
+
+def _pairs(docs: DataFrame, items: Items, text: str, doc_id: str, threshold: float) -> DataFrame:
+    """(doc_id, mark, item_id, score, end_word): passages of the texts around n-grams of items that align with the item."""
+    columns = "doc_id long, mark string, item_id long, score double, end_word long"
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("item_id", pa.int64()),
+                        ("score", pa.float64()), ("end_word", pa.int64())])
     number = items.vocabulary.get
     size = len(items.vocabulary) + 1
 
+    def aligned(held: dict[int, list[tuple]]) -> pa.RecordBatch:
+        out = [(of[k][0], of[k][1], items.ids[item], score, of[k][2] + where) for item, of in held.items()
+               for k, score, where in _judged(items, item, [o[3] for o in of], threshold)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([o[c] for o in out], f.type) for c, f in enumerate(schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        held: dict[int, list[tuple]] = {}
+        waiting = 0
         for batch in batches:
             for row, value in enumerate(batch.column(2)):
                 said = words(value.as_py())
@@ -121,102 +170,30 @@ def _met(docs: DataFrame, items: Items, text: str, doc_id: str) -> DataFrame:
                 place = np.searchsorted(items.sorted, key)
                 place[place == len(items.sorted)] = 0
                 hit = items.sorted[place] == key
-                by_item: dict[int, list[tuple[int, int]]] = {}
+                by_item: dict[int, list[int]] = {}
                 for p, g in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
                     for item in items.holders[g]:
-                        by_item.setdefault(item, []).append((p, g))
+                        by_item.setdefault(item, []).append(p)
                 for item, found in by_item.items():
                     length = len(items.words[item])
-                    for first, last, grams in _passages(iter(found), length):
+                    for first, last in _passages(iter(found), length):
                         start = max(0, first - length)
                         passage = numbers[start:last + N + length]
-                        out.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), item, start,
-                                    passage.astype(np.int32).tobytes(), sorted(set(grams))))
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        if items.shared(item, passage) < threshold * length:
+                            continue
+                        held.setdefault(item, []).append(
+                            (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), start, passage.astype(np.int32)))
+                        waiting += len(passage)
+                        if waiting >= HELD_WORDS:
+                            yield aligned(held)
+                            held, waiting = {}, 0
+        if held:
+            yield aligned(held)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(text, 256).alias("mark"),
                        F.col(text).alias("text")).mapInArrow(run, columns)
 
 
-def seeds(passages: DataFrame, items: Items) -> DataFrame:
-    """(item, seeds): the rare n-grams of every item, as arrays no longer than the item."""
-    spark = passages.sparkSession
-    listed = [(k, at, int(np.searchsorted(items.sorted, key)))
-              for k, keys in enumerate(items.item_grams) for at, key in enumerate(keys.tolist())]
-    grams = spark.createDataFrame(listed, "item long, at long, gram long")
-    counts = passages.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("hits"))
-    # a window holds the n-grams of one item
-    near = Window.partitionBy("item").orderBy("at").rowsBetween(0, STRIDE - 1)
-    counted = (grams.join(counts, "gram", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-               .withColumn("best", F.min(F.struct("hits", "at")).over(near))
-               .withColumn("rarest", F.min("hits").over(Window.partitionBy("item"))))
-    local = counted.select("item", F.col("best.at").alias("at")).distinct()
-    rare = (counted.join(local.withColumn("chosen", F.lit(True)), ["item", "at"], "left")
-            .where(F.col("chosen") | (F.col("hits") <= SPREAD * F.greatest("rarest", F.lit(1)))))
-    return rare.groupBy("item").agg(F.collect_set("gram").alias("seeds"))
-
-
-def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best local scores of passages (rows padded with -2) with an item, and the last passage word of each.
-
-    All rows advance together; within a row of the score matrix a running maximum stands for the gap along it.
-    """
-    rows, width = passages.shape
-    above = np.zeros((rows, width + 1))
-    slope = GAP * np.arange(1, width + 1)
-    best, where = np.zeros(rows), np.zeros(rows, np.int64)
-    real = passages != -2
-    for w in item:
-        here = np.maximum(above[:, :-1] + np.where(passages == w, 2.0, -1.0), above[:, 1:] - GAP)
-        np.maximum(here, 0, out=here)
-        here = np.maximum.accumulate(here + slope, axis=1) - slope
-        here[~real] = 0
-        top = here.argmax(1)
-        score = here[np.arange(rows), top]
-        better = score > best
-        best[better], where[better] = score[better], top[better]
-        above[:, 1:] = here
-    return best, where
-
-
-def _aligned(passages: DataFrame, items: Items, threshold: float) -> DataFrame:
-    columns = "doc_id long, mark string, item_id long, score double, end_word long"
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("item_id", pa.int64()),
-                        ("score", pa.float64()), ("end_word", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers = batch.column(2).to_numpy()
-            scores, ends = np.zeros(len(numbers)), np.zeros(len(numbers), np.int64)
-            starts = batch.column(3).to_numpy()
-            texts = batch.column(4)
-            for item in np.unique(numbers):
-                own = items.words[item]
-                rows = np.flatnonzero(numbers == item)
-                step = max(1, 2_000_000 // (4 * len(own) + N))
-                for a in range(0, len(rows), step):
-                    part = rows[a:a + step]
-                    held = [np.frombuffer(texts[int(r)].as_py(), np.int32) for r in part]
-                    grid = np.full((len(part), max(map(len, held))), -2, np.int64)
-                    for k, h in enumerate(held):
-                        grid[k, :len(h)] = h
-                    score, where = align(own, grid)
-                    scores[part], ends[part] = score / (2.0 * len(own)), starts[part] + where
-            keep = np.flatnonzero(scores >= threshold)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)),
-                 pa.array([items.ids[i] for i in numbers[keep]], pa.int64()), pa.array(scores[keep]),
-                 pa.array(ends[keep])], schema=schema)
-
-    return passages.select("doc_id", "mark", "item", "start", "words").mapInArrow(run, columns)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
                  threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, mark, item_id, score, end_word): pairs of documents and test items; ``mark`` is the text's SHA-256."""
@@ -229,9 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         rows = sorted(((r["item_id"], r["text"]) for r in own.toLocalIterator()),
                       key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         items = Items([r for r in rows if len(words(r[1])) >= N])
-        passages = stored(_met(docs, items, text, doc_id), "passages")
-        chosen = passages.join(seeds(passages, items), "item").where(F.arrays_overlap("grams", "seeds"))
-        parts.append(_aligned(chosen, items, threshold))
+        parts.append(_pairs(docs, items, text, doc_id, threshold))
     pairs = reduce(DataFrame.unionByName, parts)
     best = F.max(F.struct("score", "end_word")).alias("best")
     return (pairs.groupBy("doc_id", "mark", "item_id").agg(best)

@@ -198,6 +198,27 @@ def test_copies_and_edits_are_found(spark):
     assert decontam.contaminated(_docs(spark, rows), items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [4, 5])
+@pytest.mark.parametrize("copies", [1, 5, 1000])
+def test_dense_edits_are_found_in_any_number_of_copies(spark, every, copies):
+    rng = random.Random(every)
+    lengths = (20, 30, 40, 41, 42, 45, 56)
+    items = [[f"i{n}x{k}" for k in range(n)] for n in lengths]
+    edited = [[w if k % every != every - 1 else "other" for k, w in enumerate(i)] for i in items]
+    noise = lambda n: [f"n{rng.randrange(400)}" for _ in range(n)]
+    around = noise(30), noise(30)
+    rows = [(c * len(items) + k, " ".join(around[0] + e + around[1])) for c in range(copies) for k, e in enumerate(edited)]
+    # the whole item beside them makes the n-grams that the edits replace the rarer ones
+    rows += [(-1 - k, " ".join(i)) for k, i in enumerate(items)]
+    table = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated(_docs(spark, rows), table).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(
+        (i, i % len(items) if i >= 0 else -1 - i) for i, _ in rows)
+    low = min(_smith_waterman(np.arange(n), np.where(np.arange(n) % every == every - 1, -1, np.arange(n))) / (2 * n)
+              for n in lengths)
+    assert min(r["score"] for r in got) == pytest.approx(low)
+
+
 # n-gram Jaccard join
 
 def _shingles(text):
