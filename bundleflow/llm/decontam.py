@@ -3,12 +3,15 @@
 1. Test items give word n-grams, the seeds.  One pass over the texts meets them with every text: where n-grams of an item
    occur, the passage around them (at most four item lengths of words) is taken.
 2. A passage can match no more words than it shares with its item, each counted as often as both have it.  Passages
-   that cannot reach the threshold by that bound leave; how often an n-gram or a copy occurs decides nothing.
+   that cannot be reported by that bound leave; how often an n-gram or a copy occurs decides nothing.
 3. The others are aligned with their item, word by word (match 2, mismatch and gap -1).  The score is the best local
-   alignment over that of the whole item; pairs that reach ``THRESHOLD`` are reported.
+   alignment over that of the whole item; pairs that reach ``THRESHOLD`` are reported, if the alignment is worth
+   ``LEAST_WORDS`` words, or the whole of a shorter item.
+4. A part of a long item counts for itself: pairs are also reported, with that same score, where a local alignment less 1
+   for each item word it spans is worth ``PASSAGE`` words: 13 words in a row, or a longer stretch with edits.
 
 So every text in which three words of an item stand in a row is judged by its alignment alone; edits that leave no such
-three words are not seen.
+three words are not seen.  ``threshold`` is that of the whole item; parts are reported at any threshold.
 
 Test items are taken in blocks of at most ``BLOCK_CHARS`` characters (one item more at most), each block a pass of its
 own, so what a task holds of the benchmark is bounded.
@@ -33,6 +36,10 @@ from pyspark.sql import functions as F
 
 N = 3
 THRESHOLD = 0.5
+#: Aligned words of an item that are a copy, however long the item is.
+PASSAGE = 13
+#: An alignment worth fewer words is a phrase, unless it is the whole item; THRESHOLD asks as much of items twice as long.
+LEAST_WORDS = 7
 BLOCK_CHARS = 4_000_000
 #: Words of passages that are held before they are aligned, and cells of one alignment grid.
 HELD_WORDS = 500_000
@@ -95,10 +102,10 @@ def _passages(found: Iterator[int], length: int) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
-def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(item: np.ndarray, passages: np.ndarray, span: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Best local scores of passages (rows padded with -2) with an item, and the last passage word of each.
 
-    All rows advance together; within a row of the score matrix a running maximum stands for the gap along it.
+    Every item word that an alignment spans costs ``span``.  All rows advance together; within a row of the score matrix a running maximum stands for the gap along it.
     """
     rows, width = passages.shape
     above = np.zeros((rows, width + 1))
@@ -106,7 +113,7 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
     best, where = np.zeros(rows), np.zeros(rows, np.int64)
     real = passages != -2
     for w in item:
-        here = np.maximum(above[:, :-1] + np.where(passages == w, 2.0, -1.0), above[:, 1:] - GAP)
+        here = np.maximum(above[:, :-1] + np.where(passages == w, 2.0 - span, -1.0 - span), above[:, 1:] - GAP - span)
         np.maximum(here, 0, out=here)
         here = np.maximum.accumulate(here + slope, axis=1) - slope
         here[~real] = 0
@@ -118,8 +125,13 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, where
 
 
+def _least(length: int, threshold: float) -> float:
+    """What the best alignment with an item of that many words must reach."""
+    return max(threshold * 2.0 * length, 2.0 * min(length, LEAST_WORDS))
+
+
 def _judged(items: Items, item: int, passages: list[np.ndarray], threshold: float) -> Iterator[tuple[int, float, int]]:
-    """(place in the list, score, last word) of the passages that count as copies of an item."""
+    """(place in the list, score, last word) of the passages that count as copies of an item or of a part."""
     own = items.words[item]
     step = max(1, HELD_WORDS // max(map(len, passages)))
     for a in range(0, len(passages), step):
@@ -128,9 +140,13 @@ def _judged(items: Items, item: int, passages: list[np.ndarray], threshold: floa
         for k, p in enumerate(part):
             grid[k, :len(p)] = p
         score, where = align(own, grid)
-        score /= 2.0 * len(own)
-        for k in np.flatnonzero(score >= threshold).tolist():
-            yield a + k, float(score[k]), int(where[k])
+        copied = score >= _least(len(own), threshold)
+        # PASSAGE matches span as many item words, so the full score is 2 * PASSAGE at least
+        perhaps = np.flatnonzero(~copied & (score >= 2 * PASSAGE))
+        if len(perhaps):
+            copied[perhaps] = align(own, grid[perhaps], 1.0)[0] >= PASSAGE
+        for k in np.flatnonzero(copied).tolist():
+            yield a + k, float(score[k] / (2.0 * len(own))), int(where[k])
 
 
 def _pairs(docs: DataFrame, items: Items, text: str, doc_id: str, threshold: float) -> DataFrame:
@@ -176,10 +192,11 @@ def _pairs(docs: DataFrame, items: Items, text: str, doc_id: str, threshold: flo
                         by_item.setdefault(item, []).append(p)
                 for item, found in by_item.items():
                     length = len(items.words[item])
+                    fewest = min(_least(length, threshold) / 2, PASSAGE)
                     for first, last in _passages(iter(found), length):
                         start = max(0, first - length)
                         passage = numbers[start:last + N + length]
-                        if items.shared(item, passage) < threshold * length:
+                        if items.shared(item, passage) < fewest:
                             continue
                         held.setdefault(item, []).append(
                             (batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), start, passage.astype(np.int32)))

@@ -219,6 +219,21 @@ def test_dense_edits_are_found_in_any_number_of_copies(spark, every, copies):
     assert min(r["score"] for r in got) == pytest.approx(low)
 
 
+def test_parts_of_long_items_count_and_phrases_of_short_ones_do_not(spark):
+    long, short = [f"l{k}" for k in range(300)], [f"s{k}" for k in range(6)]
+    table = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    noise = [f"n{k}" for k in range(40)]
+    part = [w if k % 7 else "other" for k, w in enumerate(long[100:240])]
+    thin = [w for k, v in enumerate(long[:180]) for w in ([v, "x", "y"] if k % 6 > 2 else [v])]
+    docs = [(1, long[60:200]), (2, part), (3, long[80:93]), (4, long[80:92]), (5, short[:4]), (6, short), (7, short[:3] + short[4:]),
+            (8, thin), (9, long[:3] * 60)]
+    rows = [(i, " ".join(noise + w + noise)) for i, w in docs]
+    got = {r["doc_id"]: r for r in decontam.contaminated(_docs(spark, rows), table).collect()}
+    # of the thin one, three words in a row and three single ones alternate: 12 - 6 of every 6 less 6
+    assert sorted(got) == [1, 2, 3, 6]
+    assert got[1]["score"] == pytest.approx(140 / 300) and got[1]["end_word"] == 179 and got[6]["score"] == 1.0
+
+
 # n-gram Jaccard join
 
 def _shingles(text):
