@@ -316,7 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: int = GROUP) -> DataFrame:
-    """One row per input row: doc_id, mark, n_shingles, component_id."""
+    """One row per input row: doc_id, mark, n_shingles, component_id, root (the component itself; null without shingles)."""
     survey = stored(_survey(docs, text, doc_id), "survey")
     rows = survey.where("n is not null")
     # at most one row per bucket of the sketch
@@ -335,7 +335,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
              .select("sid", "least", F.coalesce("root", "sid").alias("root")))
     named = stored(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "root").select("sid", "component_id")
+    by_class = named.join(least, "root").select("sid", "component_id", "root")
     return (rows.join(by_class, "sid", "left")
             .select("doc_id", "mark", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    "root"))

@@ -4,12 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 reads it again as the next stage's docs.  All stages but the last keep the columns of ``documents``.
 
 Null texts and texts without letters leave in the first stage, so later stages see none from here; each of them handles
-them all the same (see the operators).  Rows without id stay as they are where a decision is made by id.
+them all the same (see the operators).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundleflow.llm import decontam, langid, ngram_join, packing, pii
@@ -31,17 +31,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that with the smallest id, once; documents without id stay."""
+    """Keeps one document of each group, once: that with the smallest id (none comes last), of its texts the smallest hash.
+
+    A document is its id and its text: unlike texts under one id are judged each for itself.
+    """
     ship(spark)
-    found = stored(ngram_join.near_duplicates(docs), "components")
-    dropped = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"),
-                      "repeated")
+    found = stored(ngram_join.near_duplicates(docs).withColumn("_key", _document_key(F.col("mark"))), "components")
+    first = F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "mark", "_key")).alias("first")
+    grouped = found.where("root is not null")
+    chosen = grouped.groupBy("root").agg(first).select("first._key")
+    dropped = grouped.select("_key").distinct().join(chosen, "_key", "left_anti")
+    # texts without shingles are in no group, so without id nothing tells that they are one document
+    repeated = stored(found.where("doc_id is not null or root is not null").groupBy("_key").count().where("count > 1")
+                      .select("_key"), "repeated")
+    kept = (docs.withColumn("_key", _document_key(F.xxhash64("text")))
+            .join(dropped, "_key", "left_anti"))
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+        return kept.select(docs.columns)
+    again = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return kept.join(repeated, "_key", "left_anti").select(docs.columns).unionByName(again)
+
+
+def _document_key(mark: Column) -> Column:
+    """A document's id and the hash of its text as one value; missing ids are equal."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), mark.cast("string"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,18 @@ def test_stages_decide(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_decide_by_id_and_text(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(100)) for _ in range(4))
+    # 7: one text joins an older group, the other is its own; 8: two unlike texts, one of them twice; one group without ids
+    rows = [_row(1, a), _row(7, a + " tail"), _row(7, b), _row(8, c), _row(8, b[::-1]), _row(8, c), _row(None, d),
+            _row(None, d), _row(None, d + " tail"), _row(9, ""), _row(9, ""), _row(None, ""), _row(None, b)]
+    left = [(r["doc_id"], r["text"]) for r in pipe.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), SF).collect()]
+    alone = [t for i, t in left if i is None and t]
+    assert len(alone) == 1 and alone[0] in (d, d + " tail")
+    assert sorted(x for x in left if x[0] is not None) == sorted([(1, a), (7, b), (8, c), (8, b[::-1]), (9, "")])
+
+
 def test_whole_run(spark):
     out = queries.QUERIES["pipeline"](spark, SF)
     tokens = out.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
