@@ -100,3 +100,65 @@ select page_id, payload_bytes, payload_digest,
        case when page_id is null or page_id <> first_id then first_id end as refers_to
 from p left join f using (payload_digest)
 """
+
+# CRC-32 of the decimal id, bit by bit.  Runs by brute force: all pairs of equal 16-word grams of a document (any run's
+# match on its diagonal has 16 words), islands on the diagonals, and no stretch inside one of a smaller period.
+ORACLES["op11_periodic_runs"] = """
+with d as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+         xor(list_reduce(list_concat([4294967295], flatten(list_transform(regexp_extract_all(doc_id::varchar, '.'),
+               lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)), 4294967295) as h
+  from documents),
+p as (
+  select *, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a, h // 10 as g from d),
+t as (
+  select r, doc_id, n, case when a is null then w else list_transform(range(0, n), lambda i:
+           w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) end as w
+  from p),
+grams as (
+  select r, i, array_to_string(w[i + 1:i + 16], ' ') as gram from (select r, n, w, unnest(range(0, n - 15)) as i from t where n >= 16)),
+pairs as (select a.r, a.i, b.i - a.i as q from grams a join grams b on a.r = b.r and a.gram = b.gram and a.i < b.i),
+islands as (
+  select r, q, min(i) as s, max(i) + 16 + q as e
+  from (select *, i - row_number() over (partition by r, q order by i) as island from pairs) group by r, q, island),
+long as (select * from islands where e - s >= greatest(24, 3 * q)),
+runs as (
+  select * from long where not exists (
+    select 1 from islands o where o.r = long.r and o.q < long.q and o.s <= long.s and o.e >= long.e)),
+lost as (select distinct r, unnest(range(s + q, e)) as i from runs),
+places as (select r, w, unnest(range(0, n)) as i from t),
+kept as (
+  select r, string_agg(w[i + 1], ' ' order by i) as text from places anti join lost using (r, i) group by r),
+best as (
+  select r, first(s order by (e - s) / q desc, s, q) as s, first(e - s order by (e - s) / q desc, s, q) as length,
+         first(q order by (e - s) / q desc, s, q) as q, count(*) as n_runs,
+         string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' order by s, q) as lines
+  from runs group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, length::bigint as length, q::bigint as period,
+       (1000 * length // q)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+       sha256(coalesce(text, '')) as collapsed_sha256
+from t left join best using (r) left join kept using (r)
+"""
+
+ORACLES["op12_ranked_search"] = """
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+  from documents where text is not null),
+items as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark),
+whole as (select count(*) as big_n, sum(len(w))::bigint as big_l from d where len(w) > 0),
+tf as (select r, doc_id, len(w) as n, term, count(*) as tf from (select r, doc_id, w, unnest(w) as term from d) group by all),
+df as (select term, count(*) as df from tf group by term),
+part as (
+  select r, doc_id, term, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)))::bigint
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l)))) as impact
+  from tf join df using (term), whole),
+scores as (select item_id, r, doc_id, sum(impact)::bigint as score from items join part using (term) group by all),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last, r) as rank from scores where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, chat, decontam, langid, licenses, ngram_join, packing, pii, secrets, warc
+from . import ann, best_position, chat, decontam, langid, licenses, ngram_join, order_minhash, packing, pii, runs, secrets, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,6 +58,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.repeated_text(F.col("text"), F.col("doc_id")).alias("text"))
+    return runs.digest(runs.find_runs(docs))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.digest(order_minhash.fingerprints(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,4 +86,4 @@ def _shipped(query):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_secret_scan, op2_packing, op3_pii, op4_ann, op5_decontamination, op6_ngram_join, op7_license_scan, op8_chat_format, op9_warc, op10_language_id,
-    pipeline)}
+    op11_periodic_runs, op12_ranked_search, op13_order_minhash, pipeline)}
