@@ -11,17 +11,21 @@ How pairs are found without comparing all of them, and without losing one:
   come from all documents, by sketches.  The order decides cost, never results.
 * Two linked sets share a token among the first ``n - ceil(0.75 n) + 1`` of either (prefix filter).  Only such tokens
   enter the matrix, and only if two classes share them.
+* Each group compares its own members first, exactly.  The parts of a group that is too large also hold some of its
+  classes in common (pivots), so a large group of near copies becomes one provisional component in this round, at a cost
+  linear in its members.  From here on a unit of the matrix is such a component, or the unlinked rest of a group: pairs
+  inside a unit are connected or compared already, and a token of a thousand near copies meets one unit, not their parts.
 * For q and a member d, overlap <= common prefix tokens + tokens behind a prefix.  With the number of q's prefix tokens
-  in the union of G's other members and the sizes in G this bounds the overlap with any of them.  Two groups meet only
+  in the union of a unit and the sizes in it this bounds the overlap with any of its members.  Two units meet only
   if some class of either passes this bound against the other, and only those that pass are compared.
-* Opened groups test the same with full unions, then exact intersections.
+* Opened units test the same with full unions, then exact intersections.
 
-A group links its own members first, and a query links to one member of each part it reaches, so no task emits all
-pairs of a group.  Components follow from the links by star contraction.
+A query links to one member of each component it reaches, so no task emits all pairs of a group.  Components follow from
+the links by star contraction.
 
 Defined results: a null or wordless text has an empty set and links with nothing; repeated rows are copies; a row
 without id belongs to its class and never names it, and a class of such rows has a null component unless it links to one
-with an id; an empty table gives no rows; extra columns are ignored.
+with an id; an empty table gives no rows; extra columns are ignored; very long texts are read whole, by one task each.
 """
 
 from __future__ import annotations
@@ -38,8 +42,11 @@ from .common import stored
 from .shingles import chunks, set_id
 
 GROUP = 64
+PIVOTS = 8
 QUERIES_AT_ONCE = 1024
 SKETCH_BITS = 22
+RANGE_BITS = 16  # buckets of one row of the rank table
+SALTS = 8
 PAIRS_PER_BUCKET = 1 << 17
 FLUSH_PAIRS = 1 << 20
 MATRIX_CELLS = 32 << 20
@@ -91,15 +98,32 @@ def prefix(own: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, place))[:size]]
 
 
-def _prefix_pairs(docs: DataFrame, text: str, frequent: list[tuple[int, int]], buckets: int) -> DataFrame:
+def _ranks(survey: DataFrame) -> np.ndarray:
+    """How frequent each bucket of the sketch is, one byte each (eighths of a power of two); 0: not frequent.
+
+    Packed on Spark; the driver gets at most 2**(SKETCH_BITS - RANGE_BITS) rows of 2**RANGE_BITS bytes, whatever the data.
+    """
+    def pack(counts: pa.Table) -> pa.Table:
+        level = np.zeros(1 << RANGE_BITS, np.uint8)
+        bucket = counts["bucket"].to_numpy()
+        level[bucket & ((1 << RANGE_BITS) - 1)] = np.minimum(8 * np.log2(counts["hits"].to_numpy()) + 1, 255)
+        return pa.table({"stretch": [int(bucket[0]) >> RANGE_BITS], "levels": pa.array([level.tobytes()], pa.binary())})
+
+    hits = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits"))
+    rows = (hits.groupBy(F.shiftright("bucket", RANGE_BITS).alias("stretch"))
+            .applyInArrow(pack, "stretch long, levels binary").collect())
+    rank = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in rows:
+        begin = r["stretch"] << RANGE_BITS
+        rank[begin:begin + (1 << RANGE_BITS)] = np.frombuffer(r["levels"], np.uint8)
+    return rank
+
+
+def _prefix_pairs(docs: DataFrame, text: str, rank: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, tokens, sids): prefix tokens with their classes, many to a row."""
     schema = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("sids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(1 << SKETCH_BITS, np.int32)
-        if frequent:
-            where, hits = np.array(frequent, np.int64).T
-            rank[where] = np.minimum(hits, 2**31 - 1)
         tokens: list[np.ndarray] = []
         sids: list[tuple[int, int]] = []
         held, seen = 0, set()
@@ -154,9 +178,10 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def groups_of(survey: DataFrame, shared: DataFrame, group: int = GROUP) -> DataFrame:
-    """(sid, n, at, gid): the classes that share a token, and their groups.
+    """(sid, n, at, gid, home): the classes that share a token, and their groups.
 
-    ``at`` names a row of the class by (mark, id).  A class that shares no prefix token can't link.
+    ``at`` names a row of the class by (mark, id).  A class that shares no prefix token can't link.  Pivots of a divided
+    group are in all of its parts; ``home`` tells a class's own part.
     """
     lowest = shared.groupBy("sid").agg(F.min(F.xxhash64("token")).alias("low"))
     classes = (survey.where("n > 0")
@@ -164,26 +189,20 @@ def groups_of(survey: DataFrame, shared: DataFrame, group: int = GROUP) -> DataF
                                    F.min(F.struct("mark", F.coalesce("doc_id", F.lit(-2**63)).alias("id"))).alias("at"))
                .join(lowest, "sid")
                .withColumn("key", F.xxhash64("low", F.floor(F.log("n") / math.log(1.15)))))
-    large = (classes.groupBy("key").count().where(F.col("count") > group)
-             .select("key", F.ceil(F.col("count") / group).alias("parts")))
-    part = F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1)))
-    return stored(classes.join(large, "key", "left")
-                  .select("sid", "n", "at", F.xxhash64("key", part).alias("gid")), "groups")
-
-
-def reach(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(sid, gid, other): the groups that a class of group ``gid`` may reach, its own included."""
-    # one exchange by token serves the matrix and the join with it
-    member = shared.join(groups.select("sid", "n", "gid"), "sid").repartition("token")
-    matrix = (member.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"),
-                                                 F.count("*").alias("holders"))
-              .withColumnRenamed("gid", "other"))
-    # sizes that do not fit are dropped at once
-    fits = (F.col("most") * 4 >= F.col("n") * 3) & (F.col("least") * 3 <= F.col("n") * 4)
-    others = (F.col("gid") != F.col("other")) | (F.col("holders") > 1)
-    met = (member.join(matrix, "token").where(others & fits)
-           .groupBy("sid", "n", "gid", "other")
-           .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")))
+    large = classes.groupBy("key").count().where(F.col("count") > group)
+    zero = F.lit(0).cast("long")
+    parts = F.coalesce(F.ceil(F.col("count") / group), F.lit(1))
+    dealt = (classes.join(large, "key", "left")
+             .withColumn("own", F.pmod(F.xxhash64("sid"), parts))
+             .withColumn("pivot", F.pmod(F.xxhash64("sid", F.lit(1)), F.coalesce("count", zero + 1)) < PIVOTS)
+             .withColumn("part", F.explode(F.when(F.col("pivot") & F.col("count").isNotNull(), F.sequence(zero, parts - 1))
+                                           .otherwise(F.array("own")))))
+    return stored(dealt.select("sid", "n", "at", F.xxhash64("key", "part").alias("gid"), (F.col("part") == F.col("own")).alias("home")),
+                  "groups")
+
+
+def _bounded(met: DataFrame) -> DataFrame:
+    """The rows (n, common, least, most) whose class can link to a set of ``least`` to ``most`` tokens."""
     low = F.greatest(F.col("least").cast("double"), F.col("n") * 0.75)
     high = F.least(F.col("most").cast("double"), F.col("n") / 0.75)
 
@@ -191,24 +210,54 @@ def reach(shared: DataFrame, groups: DataFrame) -> DataFrame:
         return (F.col("n") + d) * (3 / 7) - F.greatest(F.col("n").cast("double"), d) * 0.75
 
     # the bound is concave in the member's size, so its least value lies at an end of the range
-    return (met.where(F.col("common") >= F.least(short(low), short(high)) - 1e-6)
-            .select("sid", "gid", "other"))
-
-
-def roles_of(reached: DataFrame) -> DataFrame:
-    """(sid, gid, part, is_query): who is compared where; the queries of a group are dealt to parts."""
-    own, cross = reached.where("gid = other"), reached.where("gid != other")
-    back = cross.select(F.col("other").alias("gid"), F.col("gid").alias("other")).distinct()
-    both = cross.join(back, ["gid", "other"], "left_semi")
-    queries = both.where("gid < other").select("sid", F.col("other").alias("gid"))
-    members = own.unionByName(both.where("gid > other")).select("sid", "gid").distinct()
-    parts = (queries.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("parts")))
-    dealt = members.join(parts, "gid", "left").select(
-        "sid", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
-        F.lit(False).alias("is_query"))
-    called = queries.join(parts, "gid").select(
-        "sid", "gid", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("part"), F.lit(True).alias("is_query"))
-    return stored(dealt.unionByName(called), "roles")
+    return met.where(F.col("common") >= F.least(short(low), short(high)) - 1e-6)
+
+
+_FITS = "most * 4 >= n * 3 and least * 3 <= n * 4"  # sizes that do not fit are dropped at once
+
+
+def own_members(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sid, gid): the classes that may link inside their group."""
+    member = shared.join(groups.select("sid", "n", "gid"), "sid")
+    matrix = (member.groupBy("token", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("holders"))
+              .where("holders > 1").drop("holders"))
+    met = (member.join(matrix, ["token", "gid"]).where(_FITS).groupBy("sid", "n", "gid")
+           .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")))
+    return _bounded(met).select("sid", "gid")
+
+
+def reach(shared: DataFrame, units: DataFrame) -> DataFrame:
+    """(sid, unit, other): the other units that a class of ``unit`` may reach."""
+    member = shared.join(units.select("sid", "n", "unit"), "sid")
+    matrix = (member.groupBy("token", "unit").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+              .withColumnRenamed("unit", "other"))
+    met = (member.join(matrix, "token").where("unit != other").where(_FITS).groupBy("sid", "n", "unit", "other")
+           .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")))
+    return _bounded(met).select("sid", "unit", "other")
+
+
+def roles_of(reached: DataFrame, units: DataFrame) -> DataFrame:
+    """(sid, gid, comp, is_query): who is compared where.  A unit's members are dealt to parts of ``GROUP``, its queries
+    to parts of ``QUERIES_AT_ONCE``; each pair of parts is a ``gid``."""
+    back = reached.select(F.col("other").alias("unit"), F.col("unit").alias("other")).distinct()
+    both = reached.join(back, ["unit", "other"], "left_semi")
+    queries = both.where("unit < other").select("sid", F.col("other").alias("unit"))
+    members = both.where("unit > other").select("sid", "unit").distinct()
+
+    def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("unit").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+
+    dealt = parts(queries, QUERIES_AT_ONCE, "calls").join(parts(members, GROUP, "parts"), "unit")
+    zero = F.lit(0).cast("long")
+
+    def placed(rows: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
+        mine = rows.join(dealt, "unit").withColumn("mine", F.pmod(F.xxhash64("sid", F.lit(2)), own)).withColumn(
+            "theirs", F.explode(F.sequence(zero, F.col(other) - 1)))
+        place = ["mine", "theirs"] if is_query else ["theirs", "mine"]
+        return mine.select("sid", F.xxhash64("unit", *place).alias("gid"), F.lit(is_query).alias("is_query"))
+
+    both = placed(members, "parts", "calls", False).unionByName(placed(queries, "calls", "parts", True))
+    return stored(both.join(units.select("sid", "comp"), "sid"), "roles")
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
@@ -230,70 +279,91 @@ def linked(inter: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
     return 100 * inter >= 75 * (a + b - inter)
 
 
-def _open(table: pa.Table) -> pa.Table:
-    """Links of one opened group: among its members, and from each query to one member of every part it reaches."""
-    sids, is_query = np.asarray(table["sid"]), np.asarray(table["is_query"])
-    sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-    members = {int(sids[i]): sets[i] for i in np.flatnonzero(~is_query)}
-    queries = {int(sids[i]): sets[i] for i in np.flatnonzero(is_query)}
-    names, member_sets = list(members), list(members.values())
-    if not names:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    left: list[int] = []
-    right: list[int] = []
-    sizes = np.array([len(s) for s in member_sets], np.int64)
-    union, entry = np.unique(np.concatenate(member_sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(names)), sizes)
-    matrix = None
-    if len(names) * len(union) <= MATRIX_CELLS:
-        matrix = np.zeros((len(union), len(names)), np.uint8)
-        matrix[entry, owner] = 1
-
-    def reached(own: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(union, own)
-        at[at == len(union)] = 0
-        at = at[union[at] == own]
+class _Members:
+    """The sets of one opened group and their union."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets], np.int64)
+        self.union, entry = np.unique(np.concatenate(sets), return_inverse=True)
+        self.matrix = None
+        if len(sets) * len(self.union) <= MATRIX_CELLS:
+            self.matrix = np.zeros((len(self.union), len(sets)), np.uint8)
+            self.matrix[entry, np.repeat(np.arange(len(sets)), self.sizes)] = 1
+
+    def linked_to(self, own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.union, own)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == own]
         if 4 * len(at) < 3 * len(own):  # the union's bound: no member can link
             return np.empty(0, np.int64)
-        if matrix is not None:
-            inter = matrix[at].sum(0, dtype=np.int64)
+        if self.matrix is not None:
+            inter = self.matrix[at].sum(0, dtype=np.int64)
         else:
-            inter = np.array([len(np.intersect1d(own, s, assume_unique=True)) for s in member_sets])
-        return np.flatnonzero(linked(inter, len(own), sizes))
+            inter = np.array([len(np.intersect1d(own, s, assume_unique=True)) for s in self.sets])
+        return np.flatnonzero(linked(inter, len(own), self.sizes))
 
+
+def _edges(left: list[int], right: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _open_own(table: pa.Table) -> pa.Table:
+    """Links that connect what links among the members of a group."""
+    names = table["sid"].to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+    if len(names) < 2:
+        return _edges([], [])
+    members = _Members(sets)
     root = np.arange(len(names))
-    for i, own in enumerate(member_sets):
-        for j in reached(own).tolist():
+    for i, own in enumerate(sets):
+        for j in members.linked_to(own).tolist():
             a, b = root[i], root[j]
             if a != b:
                 root[root == max(a, b)] = min(a, b)
-    for i in np.flatnonzero(root != np.arange(len(names))).tolist():
-        left.append(names[root[i]])
-        right.append(names[i])
-    for sid, own in queries.items():
-        for r in np.unique(root[reached(own)]).tolist():
-            left.append(sid)
-            right.append(names[r])
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+    more = np.flatnonzero(root != np.arange(len(names))).tolist()
+    return _edges([names[root[i]] for i in more], [names[i] for i in more])
 
 
-def links(docs: DataFrame, groups: DataFrame, roles: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(a, b): enough links between classes to connect all that the similarity connects."""
-    wanted = groups.join(roles.select("sid").distinct(), "sid").select("at.mark", "at.id")
+def _open_to_queries(table: pa.Table) -> pa.Table:
+    """A link from each query to one member of every component that it reaches."""
+    sids, comps, is_query = (np.asarray(table[c]) for c in ("sid", "comp", "is_query"))
+    sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+    at = np.flatnonzero(~is_query)
+    if not len(at) or len(at) == len(sids):
+        return _edges([], [])
+    members = _Members([sets[i] for i in at])
+    left: list[int] = []
+    right: list[int] = []
+    for i in np.flatnonzero(is_query).tolist():
+        reached = at[members.linked_to(sets[i])]
+        for j in reached[np.unique(comps[reached], return_index=True)[1]].tolist():
+            if comps[j] != comps[i]:
+                left.append(int(sids[i]))
+                right.append(int(sids[j]))
+    return _edges(left, right)
+
+
+def links(docs: DataFrame, groups: DataFrame, roles: DataFrame, text: str, doc_id: str, compare) -> DataFrame:
+    """(a, b): the links that ``compare`` finds in each group of ``roles``."""
+    wanted = groups.where("home").join(roles.select("sid").distinct(), "sid").select("at.mark", "at.id")
     sets = _sets(docs, text, doc_id, wanted).dropDuplicates(["sid"])
-    return roles.join(sets, "sid").groupBy("gid", "part").applyInArrow(_open, "a long, b long")
+    return roles.join(sets, "sid").groupBy("gid").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has a link.
 
     Every round hangs a node's larger neighbours, then all its neighbours, on the smallest one; it ends when the links
-    are stars.  A node with very many links meets them in a join that splits, not in one group.
+    are stars.  A node's least neighbour is found from partial minima; its links are dealt to ``SALTS`` places, each of
+    which has a copy of the node's least, so the links of a node with very many never meet in one task.
     """
     def hung(pairs: DataFrame, both_ways: bool) -> DataFrame:
         ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else pairs
-        least = ways.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        joined = ways.join(least, "a")
+        ways = ways.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        least = (ways.groupBy("a", "salt").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
+                 .withColumn("m", F.least("m", "a")))
+        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = ways.join(copies, ["a", "salt"])
         if both_ways:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         return (joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -319,17 +389,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per input row: doc_id, mark, n_shingles, component_id, root (the component itself; null without shingles)."""
     survey = stored(_survey(docs, text, doc_id), "survey")
     rows = survey.where("n is not null")
-    # at most one row per bucket of the sketch
-    frequent = [(r["bucket"], r["hits"]) for r in
-                survey.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect()]
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, math.ceil(tokens / 4 / PAIRS_PER_BUCKET))
-    shared = stored(_prefix_pairs(docs, text, frequent, buckets).groupBy("bucket")
+    shared = stored(_prefix_pairs(docs, text, _ranks(survey), buckets).groupBy("bucket")
                     .applyInArrow(_shared, "token long, sid long"), "shared")
     groups = groups_of(rows, shared, group)
-    roles = roles_of(stored(reach(shared, groups), "reach"))
-    edges = links(docs, groups, roles, text, doc_id)
-    found = components(edges)
+    own = stored(own_members(shared, groups), "own")
+    inside = components(links(docs, groups, own, text, doc_id, _open_own))
+    # a component, or what no link has reached of a group
+    units = groups.where("home").join(inside, F.col("sid") == F.col("node"), "left").select(
+        "sid", "n", F.coalesce("root", "sid").alias("comp"), F.coalesce("root", "gid").alias("unit"))
+    units = stored(units, "units")
+    roles = roles_of(stored(reach(shared, units), "reach"), units)
+    across = links(docs, groups, roles, text, doc_id, _open_to_queries)
+    found = components(inside.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
     classes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = (classes.join(found, classes.sid == found.node, "left")
              .select("sid", "least", F.coalesce("root", "sid").alias("root")))

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -293,6 +294,29 @@ def test_components_match_all_pairs(spark, seed):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(_components(rows), key=key)
 
 
+@pytest.mark.parametrize("group", [4, 64])
+def test_large_groups_of_near_copies_become_one_component(spark, group):
+    """Two families of near copies with one opening, a chain that links only from neighbour to neighbour, and strangers
+    that share the opening."""
+    rng = random.Random(11)
+    opening = " ".join(rng.choices("abcdefgh", k=8))
+    rows = []
+    for _ in range(2):
+        base = [f"{rng.choice('pqrst')}{rng.randint(0, 99)}" for _ in range(60)]
+        for _ in range(220):
+            words = list(base)
+            words[rng.randint(0, 59)] = f"v{rng.randint(0, 999)}"
+            rows.append(opening + " " + " ".join(words))
+    chain = [f"c{i}" for i in range(160)]
+    rows += [" ".join(chain[i:i + 80]) for i in range(0, 80, 4)]
+    rows += [opening + " " + " ".join(f"{rng.choice('klmno')}{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(rows)]
+    got = ngram_join.near_duplicates(_docs(spark, docs).repartition(4), group=group).collect()
+    want = {i: (n, c) for i, n, c in _components(docs)}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert max(Counter(c for _, c in want.values()).values()) >= 200
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.near_duplicates(_docs(spark, [(1, "a")]).limit(0)).count() == 0
     alone = ngram_join.near_duplicates(_docs(spark, [(1, "a b c d e f"), (2, None)])).collect()
