@@ -10,6 +10,8 @@ the type of the order column, not from the data.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,23 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+@contextmanager
+def run_stages(spark: SparkSession) -> Iterator[str]:
+    """Stages stored inside the block go to a folder of their own below the checkpoint folder, which is removed at its
+    end; write or collect what is to outlive them first.  One block at a time in an application."""
+    checkpoint_dir(spark)
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(before)  # Spark makes a new folder of its own below it
+    own = sc.getCheckpointDir()
+    try:
+        yield own
+    finally:
+        sc.setCheckpointDir(before.rpartition("/")[0])
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store a stage that several outputs read, so that it is computed once and
     survives the loss of executors."""
@@ -38,14 +57,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_sequence(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Number rows in global sort order (gaps allowed) by a range-partitioned sort.
-
-    The ids depend on partition bounds, so the result is stored before use.
-    """
-    return cut_lineage(df.orderBy(*order).withColumn(out, F.monotonically_increasing_id()))
-
-
 def running_total(df: DataFrame, value: Column, order: str, out: str,
                   keys: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """Exclusive running sum of ``value`` by a non-negative BIGINT ``order`` within ``keys``.

@@ -2,9 +2,8 @@
 
 Cells arrive as rows: ``folder, workbook, sheet_idx, sheet_name, value``.  A number of
 digits only is compared with the digit runs of a cell, any other number with the
-letters and digits of the whole cell, in both directions.  The numbers a folder looks
-for travel as arrays of about ``PACK`` numbers; each cell meets each array once, is
-tested inside its row, and leaves only as hits.
+letters and digits of the whole cell, in both directions.  Cells look their numbers up
+in an index of the folder's numbers (:mod:`containment`) and leave only as hits.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-
-PACK = 256
+from . import containment
 
 
 def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> DataFrame:
@@ -31,33 +29,16 @@ def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> D
                              text.ascii_alnum("invoice_number").alias("norm"))
               .withColumn("norm", F.when(digits.isNull() & (norm != ""), norm)))
 
-    # Distinct numbers of a folder, dealt to arrays; a hash keeps their sizes even.
     numbers = wanted.select("folder", digits, norm).where(digits.isNotNull() | norm.isNotNull()).distinct()
     open_ = single.where(F.col("n_books") == 1).select("folder", F.col("workbook").alias("_book"))
-    packs = (numbers.groupBy("folder").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("_packs"))
-             .join(numbers, "folder").join(open_, "folder")
-             .groupBy("folder", "_book", F.pmod(F.xxhash64("digits", "norm"), "_packs").alias("_pack"))
-             .agg(F.collect_list("digits").alias("_digits"), F.collect_list("norm").alias("_norms"))
-             .drop("_pack"))
-    none = F.array().cast("array<string>")
-
-    def same_digits(v):
-        return F.when(F.size("_digits") > 0, F.array_intersect(F.col("_digits"), text.digit_runs(v))).otherwise(none)
-
-    def inside(v):
-        return F.when(F.size("_norms") > 0, text.let(text.ascii_alnum(v), lambda c: F.filter(
-            "_norms", lambda t: F.contains(c, t) | F.contains(t, c)))).otherwise(none)
-
-    def hits_of(v):
-        return F.when(v != "", F.concat(
-            F.transform(same_digits(v), lambda d: F.struct(d.alias("digits"), F.lit(None).cast("string").alias("norm"))),
-            F.transform(inside(v), lambda t: F.struct(F.lit(None).cast("string").alias("digits"), t.alias("norm")))))
-
+    asked = open_.join(numbers.select("folder").distinct(), "folder", "left_semi")
+    texts = (cells.join(asked, "folder").where(F.col("workbook") == F.col("_book"))
+             .select("folder", F.col("sheet_idx").cast("int").alias("sheet_idx"), "sheet_name", text.strip("value").alias("_v"))
+             .where(F.col("_v") != "")
+             .select("folder", "sheet_idx", "sheet_name", text.ascii_alnum("_v").alias("norm"), text.digit_runs("_v").alias("runs")))
     # hits are grouped by a value of their own, so a folder with very many cells stays free to be split
-    target = F.struct("folder", F.col("hit.digits").alias("digits"), F.col("hit.norm").alias("norm")).alias("target")
-    hits = (cells.join(packs, "folder").where(F.col("workbook") == F.col("_book"))
-            .select("folder", "sheet_idx", "sheet_name", F.explode(text.let(text.strip("value"), hits_of)).alias("hit"))
-            .select(target, "sheet_idx", "sheet_name").distinct())
+    target = F.struct("folder", "digits", "norm").alias("target")
+    hits = containment.hits(texts, numbers.join(asked, "folder", "left_semi")).select(target, "sheet_idx", "sheet_name")
     found = (hits.groupBy("target").agg(F.max_by("sheet_name", "sheet_idx").alias("sheet_name"),
                                         F.count(F.lit(1)).alias("n_candidates")).select("target.*", "sheet_name", "n_candidates"))
     alike = [wanted[c].eqNullSafe(found[c]) for c in ("digits", "norm")]

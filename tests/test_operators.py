@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bundleflow.operators import batching, match, messages, naming, reference, reports, routing, scale, sheets, tagging
+from bundleflow.operators import batching, containment, match, messages, naming, ordering, reference, reports, routing, scale, sheets, tagging
 from bundleflow.functions import lexicon as lx
 
 
@@ -24,10 +24,23 @@ def test_running_total_over_the_whole_range(spark):
         assert got == want
 
 
-def test_sequence_numbers_follow_the_order(spark):
-    df = spark.createDataFrame([(f"f{i % 37:02d}", i) for i in range(500)], "name string, i int")
-    ids = [r["n"] for r in scale.with_sequence(df, ["name", "i"], "n").orderBy("name", "i").collect()]
-    assert ids == sorted(ids) and len(set(ids)) == 500
+def test_positions_are_dense_in_the_order(spark):
+    rows = [(f"f{i * 7 % 37:02d}", i) for i in range(500)] + [(None, 1000)]
+    df = spark.createDataFrame(rows, "name string, i int").repartition(11)
+    got = {(r["name"], r["i"]): r["n"] for r in ordering.dense_positions(df, ["name", "i"], "n").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted(got.values()) == list(range(len(rows)))
+    assert ordering.dense_positions(df.limit(0), ["name"], "n").isEmpty()
+
+
+def test_paths_are_numbered_in_order(spark):
+    paths = [f"m{i % 5}/{'x/' if i % 3 == 0 else ''}f{i * 13 % 97}.pdf" for i in range(90)] + ["top.pdf", "m0/é.pdf"]
+    got = {r["path"]: (r["folder"], r["folder_ord"], r["pdf_ord"]) for r in ordering.path_order(
+        spark.createDataFrame([(p,) for p in paths], "path string").repartition(7)).collect()}
+    folders = sorted({p.rpartition("/")[0] for p in paths})
+    for f in folders:
+        mine = sorted(p for p in paths if p.rpartition("/")[0] == f)
+        assert [got[p] for p in mine] == [(f, folders.index(f), k) for k in range(1, len(mine) + 1)]
 
 
 # ------------------------------------------------------------------- naming --
@@ -158,6 +171,46 @@ def test_sheets_against_a_scan(spark):
             assert (row["sheet_name"], row["n_candidates"]) == (f"S{hits[-1]}" if hits else None, len(hits))
 
 
+def test_numbers_are_found_by_lookup():
+    r = random.Random(4)
+    norms = ["".join(r.choices("ab12", k=r.choice([3, 5, 9]))) for _ in range(400)]
+    known = containment.Numbers([], norms)
+    for _ in range(300):
+        t = "".join(r.choices("ab12", k=r.randint(0, 14)))
+        assert known.around(t) == {n for n in norms if n in t or t in n}
+
+    class Counted(set):
+        asked = 0
+
+        def __contains__(self, x):
+            Counted.asked += 1
+            return super().__contains__(x)
+
+    def lookups(n):
+        index = containment.Numbers([], [f"z{i:07d}" for i in range(n)])
+        index.by_length = {k: Counted(v) for k, v in index.by_length.items()}
+        Counted.asked = 0
+        assert index.around("invoice z0000007 of may") == {"z0000007"}
+        return Counted.asked
+    assert lookups(10) == lookups(5000) <= 23  # not more for more numbers
+
+
+def test_one_folder_may_hold_half_of_all_cells(spark):
+    cells = [("hot", i % 40, f"S{i % 40}", f"n{i % 700}x", [str(i % 90)]) for i in range(6000)]
+    cells += [(f"f{i}", 0, "S0", f"n{i}x", ["7"]) for i in range(3000)]
+    numbers = [("hot", None, f"n{i}x") for i in range(0, 900, 3)] + [("hot", str(i), None) for i in range(0, 200, 7)]
+    numbers += [(f"f{i}", "7", None) for i in range(0, 3000, 50)] + [("f2", None, "2"), ("nobody", None, "n1x")]
+    texts = spark.createDataFrame(cells, "folder string, sheet_idx int, sheet_name string, norm string, runs array<string>")
+    found = containment.hits(texts, spark.createDataFrame(numbers, "folder string, digits string, norm string"), at_once=500)
+    by_folder = {}
+    for f, s, _, norm, runs in cells:
+        by_folder.setdefault(f, set()).add((s, norm, runs[0]))
+    want = {(f, s, d, n) for f, d, n in numbers for s, norm, run in by_folder.get(f, ())
+            if (d is not None and d == run) or (n is not None and (n in norm or norm in n))}
+    got = [(r["folder"], r["sheet_idx"], r["digits"], r["norm"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # ------------------------------------------------------------------ matching --
 def _entities(spark):
     raw = [(i, f"LE{i}", n, "site", "land") for i, n in enumerate(
