@@ -11,12 +11,15 @@ into the message.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import lexicon as lx
 from ..functions import text
+from ..functions.automaton import Patterns
+from .scale import cut_lineage
 
 
 def shortest_terms(terms) -> list[str]:
@@ -91,3 +94,74 @@ def derive_tags(documents: DataFrame, messages: DataFrame, key: str) -> DataFram
     either = F.col("_own").bitwiseOR(F.col("m_flags"))
     return found.withColumn("tags", tag_array(_flag(either, 1), _flag(either, 2), _flag(F.col("m_flags"), 4))).drop(
         "_own", "m_flags", "m_head")
+
+
+# --- evidence -----------------------------------------------------------------
+TERMS = 100_000  # terms of one automaton
+
+
+def lexicon_terms(spark: SparkSession) -> DataFrame:
+    """The fixed terms as a table ``tag, language, term``, one place to extend them from."""
+    rows = [("TELECOM", "any", t) for t in lx.TELECOM_TERMS] + [("DD", "any", t) for t in lx.DIRECT_DEBIT_TERMS]
+    rows += [("UTILITY", language, t) for language, terms in lx.UTILITY_TERMS.items() for t in terms]
+    return spark.createDataFrame(rows, "tag string, language string, term string")
+
+
+def _evidence(terms: list[tuple]):
+    """Hits of one block of terms in Arrow batches of (key, text)."""
+    numbers: dict[str, list[int]] = {}
+    for i, (_, _, term) in enumerate(terms):
+        numbers.setdefault(term, []).append(i)
+    words = list(numbers)
+
+    def work(batches):
+        known = Patterns((w, i) for i, w in enumerate(words))
+        for batch in batches:
+            at, tags, languages, found, firsts, counts = [], [], [], [], [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                first: dict[int, int] = {}
+                count: dict[int, int] = {}
+                free: dict[int, int] = {}  # where the next occurrence may begin
+                for start, end, n in sorted(known.places(t or "")):
+                    first.setdefault(n, start)
+                    if start >= free.get(n, 0):
+                        count[n], free[n] = count.get(n, 0) + 1, end
+                for n, start in first.items():
+                    for i in numbers[words[n]]:
+                        at.append(row)
+                        tags.append(terms[i][0])
+                        languages.append(terms[i][1])
+                        found.append(terms[i][2])
+                        firsts.append(start)
+                        counts.append(count[n])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(tags, pa.string()), pa.array(languages, pa.string()),
+                 pa.array(found, pa.string()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32())],
+                names=["key", "tag", "language", "term", "first_place", "n_places"])
+    return work
+
+
+def evidence(texts: DataFrame, key: str, body: str, terms: DataFrame, block: int = TERMS) -> DataFrame:
+    """Which terms stand in which texts: ``key, tag, language, term, first_place, n_places``.
+
+    ``terms(tag, language, term)`` are in lower case; others never stand in a text in normal form.  Places count characters of the text in normal form;
+    occurrences of one term that overlap count once.  A text is walked once, whatever the number of terms; more than
+    ``block`` terms make one more walk for each further block, so no task holds an unbounded automaton.
+    """
+    # texts are in lower case: a term with a capital cannot occur, blanks at a term's ends count
+    kept = cut_lineage(terms.select("tag", "language", "term").where((F.col("term") != "") & (F.col("term") == F.lower("term")))
+                       .distinct())
+    blocks = max(1, -(-kept.count() // block))
+    rows = texts.select(F.col(key).alias("key"), text.tag_text(body).alias("_text"))
+    kind = texts.schema[key].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        mine = [tuple(r) for r in kept.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]  # about ``block``
+        found = rows.mapInArrow(_evidence(mine), f"key {kind}, tag string, language string, term string, first_place int, n_places int")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumnRenamed("key", key)
+
+
+def evident_tags(found: DataFrame, key: str) -> DataFrame:
+    """``key, tags`` from evidence: the distinct tags of each text, in order of their names."""
+    return found.groupBy(key).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
