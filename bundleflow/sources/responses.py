@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -29,58 +29,78 @@ def _objects(s: str):
                     pass
 
 
+def _picked(raw: str | None, required: str) -> dict | None:
+    """The last object with the required key, else the last object."""
+    if not raw:
+        return None
+    t = re.sub(r"<think>.*?</think>", "", raw, flags=re.DOTALL)
+    last = keyed = None
+    for o in _objects(re.sub(r"```(?:json)?", "", t).replace("`", "")):
+        last = o
+        if required in o:
+            keyed = o
+    return last if keyed is None else keyed
+
+
 def pick_json(required: str):
-    """Arrow UDF: the last object with the required key, else the last object."""
+    """Arrow UDF: the text of the object that :func:`_picked` finds."""
     def pick(raw: pd.Series) -> pd.Series:
-        def one(t):
-            if not t:
-                return None
-            t = re.sub(r"<think>.*?</think>", "", t, flags=re.DOTALL)
-            found = list(_objects(re.sub(r"```(?:json)?", "", t).replace("`", "")))
-            keyed = [o for o in found if required in o]
-            return json.dumps((keyed or found)[-1], ensure_ascii=False) if found else None
-        return pd.Series([one(t) for t in raw], dtype=object)
+        found = (_picked(t, required) for t in raw)
+        return pd.Series([None if o is None else json.dumps(o, ensure_ascii=False) for o in found], dtype=object)
 
     pick.__annotations__ = {"raw": pd.Series, "return": pd.Series}
     return F.pandas_udf(pick, StringType())
 
 
-def _field(v: Column, path: str) -> tuple[Column, Column]:
-    value = F.try_variant_get(v, f"$.{path}", "variant")
-    return value, F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+def _text_or_none(x) -> bool:
+    return x is None or isinstance(x, str)
+
+
+def _sound(x: str | None) -> str | None:
+    """JSON can name half characters, which no column holds."""
+    return x if x is None else x.encode("utf-8", "replace").decode()
+
+
+def _read_signals(o: dict | None) -> tuple:
+    if o is None:
+        return False, None, None
+    supplier, number = o.get("supplier_name_on_page"), o.get("invoice_number")
+    if not _text_or_none(supplier) or not (_text_or_none(number) or type(number) is int):
+        return False, None, None
+    return True, _sound(supplier), _sound(number if number is None else str(number))
+
+
+def _read_fields(o: dict | None) -> tuple:
+    if o is None:
+        return False, None, None
+    bill, pos = o.get("bill_to_client_name"), o.get("po_numbers", [])
+    if not _text_or_none(bill) or not isinstance(pos, list) or not all(map(_text_or_none, pos)):
+        return False, None, None
+    return True, _sound(bill), [_sound(p) for p in pos]
+
 
+def _typed(required: str, read, kind: str):
+    """Arrow UDF: each response parsed once, into a struct ``ok, a, b``."""
+    def parse(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(_picked(t, required)) for t in raw], columns=["ok", "a", "b"])
 
-_INTEGER = r"^DECIMAL\([0-9]+,0\)$"  # integers beyond 64 bits
+    parse.__annotations__ = {"raw": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(parse, f"ok boolean, a string, b {kind}")
 
 
 def parse_signals(responses: DataFrame) -> DataFrame:
     """``page_signals`` from ``pdf_id, page_idx, raw_text``; wrong types fail the page."""
-    v = F.try_parse_json("_json")
-    supplier, s_type = _field(v, "supplier_name_on_page")
-    number, n_type = _field(v, "invoice_number")
-    ok = F.col("_json").isNotNull() & s_type.isin("STRING", "VOID") & (n_type.isin("STRING", "BIGINT", "VOID") | n_type.rlike(_INTEGER))
-    rows = responses.withColumn("_json", pick_json("supplier_name_on_page")(F.col("raw_text")))
-    return rows.select(
-        "pdf_id", "page_idx", F.coalesce(ok, F.lit(False)).alias("read_ok"),
-        F.when(ok, F.try_variant_get(v, "$.supplier_name_on_page", "string")).alias("supplier_name_on_page"),
-        F.when(ok, text.null_if_sentinel(F.try_variant_get(v, "$.invoice_number", "string"))).alias("invoice_number"))
+    rows = responses.withColumn("_o", _typed("supplier_name_on_page", _read_signals, "string")(F.col("raw_text")))
+    return rows.select("pdf_id", "page_idx", F.col("_o.ok").alias("read_ok"), F.col("_o.a").alias("supplier_name_on_page"),
+                       text.null_if_sentinel("_o.b").alias("invoice_number"))
 
 
 def parse_fields(responses: DataFrame) -> DataFrame:
-    """``page_fields`` from the same input; purchase orders must be a list of strings."""
-    v = F.try_parse_json("_json")
-    bill, b_type = _field(v, "bill_to_client_name")
-    pos, p_type = _field(v, "po_numbers")
-    absent = F.get_json_object("_json", "$.po_numbers").isNull() & ~F.contains("_json", F.lit('"po_numbers"'))
-    ok = (F.col("_json").isNotNull() & b_type.isin("STRING", "VOID")
-          & (p_type.isin("ARRAY<STRING>", "ARRAY<VOID>") | absent))
-    rows = responses.withColumn("_json", pick_json("po_numbers")(F.col("raw_text")))
+    """``page_fields`` from the same input; purchase orders must be a list of strings, none if the key is missing."""
+    rows = responses.withColumn("_o", _typed("po_numbers", _read_fields, "array<string>")(F.col("raw_text")))
     none = F.array().cast("array<string>")
-    return rows.select(
-        "pdf_id", "page_idx", F.coalesce(ok, F.lit(False)).alias("read_ok"),
-        F.when(ok, text.null_if_sentinel(F.try_variant_get(v, "$.bill_to_client_name", "string"))).alias("bill_to"),
-        F.when(ok, F.coalesce(text.valid_pos(F.try_variant_get(v, "$.po_numbers", "array<string>")), none))
-        .alias("po_numbers"))
+    return rows.select("pdf_id", "page_idx", F.col("_o.ok").alias("read_ok"), text.null_if_sentinel("_o.a").alias("bill_to"),
+                       F.when(F.col("_o.ok"), F.coalesce(text.valid_pos("_o.b"), none)).alias("po_numbers"))
 
 
 def page_readings(pages: DataFrame, signal_responses: DataFrame, field_responses: DataFrame) -> tuple[DataFrame, DataFrame]:
