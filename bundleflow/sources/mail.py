@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.naming import unique_names
+from ..operators.ordering import dense_positions
+from . import archives
 
 _PARSED = ("path string, subject string, sender string, date string, body string, error string, "
            "attachments array<struct<att_ord:int,file_name:string,content:binary>>")
@@ -103,3 +105,20 @@ def folder_names(parsed: DataFrame, ord_col: str) -> DataFrame:
     """Output folder of each message, unique within a run in ``ord_col`` order."""
     return unique_names(parsed.withColumn("_run", F.lit("")), "_run", "folder_stem", ord_col,
                         "folder_name").drop("_run")
+
+
+def run_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``messages, attachments, members`` as a run takes them, from :func:`parse_eml`.
+
+    Mails stand in the order of their paths.  A file that is no mail holds no message.  No probe for locked files is
+    built in, so none counts as locked.
+    """
+    good = dense_positions(parsed.where(F.col("error").isNull()), ["message_id"], "msg_ord")
+    mails = good.select("message_id", "msg_ord", "subject", "body", F.col("message_id").alias("msg_path"), "folder_stem")
+    files = good.select("message_id", F.explode("attachments").alias("a")).select("message_id", "a.*")
+    listed = files.select("message_id", F.col("att_ord").cast("long").alias("att_ord"), "file_name",
+                          F.lit(True).alias("is_binary"), F.lit(False).alias("is_locked"))
+    members = archives.expand_zip(files).select(
+        "message_id", F.col("att_ord").cast("long").alias("att_ord"), F.col("seq").cast("long").alias("seq"), "rel_dir",
+        "file_name", F.lit(False).alias("is_locked"), "reason")
+    return mails, listed, members
