@@ -139,8 +139,10 @@ def overview(folders: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_errors"), F.lit(0)).alias("errors"))
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
     """Write a report table; column names are kept, so use CSV or JSON for names
-    with blanks where a reader needs it."""
+    with blanks where a reader needs it.  With ``by`` columns, only the folders that have new rows are replaced."""
     writer = df.write.mode(mode)
+    if by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*by)
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)

@@ -86,7 +86,7 @@ def batch_stamp(sql):
 
 
 # ================================================================ reports =====
-@query(O.ctes(**_RUN) + """
+_REPORT_SQL = O.ctes(**_RUN) + """
 SELECT folder AS "Folder", concat(doc_id, '.pdf') AS "Source PDF", invoice_number AS "Invoice #",
   supplier_name AS "Supplier", '' AS "Bill To", concat('3500', doc_id, ', ', '3000', doc_id) AS "PO Number(s)",
   is_sensitive AS "Is Sensitive", CASE WHEN is_sensitive THEN supplier_name ELSE '' END AS "Sensitive Match",
@@ -95,8 +95,10 @@ SELECT folder AS "Folder", concat(doc_id, '.pdf') AS "Source PDF", invoice_numbe
   '' AS "Invoice Type", kofax_email AS "Kofax Email", '' AS "Vietnam Supplier ID", '' AS "Vietnam Supplier Name",
   false AS "Vietnam Renamed", needs_manual_review AS "Needs Review",
   CASE WHEN NOT needs_manual_review THEN '' WHEN no_site THEN 'no match; no site' ELSE 'no match' END AS "Review Reasons",
-  concat('doc_', doc_id, '.pdf') AS "Output File" FROM docs""")
-def invoice_report(sql):
+  concat('doc_', doc_id, '.pdf') AS "Output File" FROM docs"""
+
+
+def _report_docs(sql) -> DataFrame:
     none = F.lit(None).cast("string")
     k = F.col("doc_id").cast("string")
     docs = _docs(sql).withColumns({
@@ -105,7 +107,19 @@ def invoice_report(sql):
         "sensitive_translated": F.lit(False), "source_site": none, "country": none, "le_matched_name": none,
         "le_score": F.lit(80), "le_translated": F.lit(None).cast("boolean"), "invoice_type": none,
         "vn_supplier_id": none, "vn_supplier_name": none, "vn_renamed": F.lit(None).cast("boolean")})
-    return reports.invoice_report(docs)
+    return docs
+
+
+@query(_REPORT_SQL)
+def invoice_report(sql):
+    return reports.invoice_report(_report_docs(sql))
+
+
+@query(_REPORT_SQL + " WHERE source_file = (SELECT max(source_file) FROM docs)")
+def bundle_report(sql):
+    """The report of one bundle: that whose path comes last."""
+    docs = _report_docs(sql)
+    return reports.single_bundle_report(docs, docs.agg(F.max("source_file")).first()[0])
 
 
 @query(O.ctes(**_RUN) + """

@@ -86,13 +86,48 @@ def latest_run(runs: DataFrame, results_root: str) -> DataFrame:
 
 # --- message metadata -----------------------------------------------------------
 METADATA_SCHEMA = ("msg_path string, folder_name string, output_folder string, sender_name string, "
-                   "sender_email string, subject string, received_date string, blocked boolean, "
-                   "block_reasons array<string>")
+                   "sender_email string, subject string, received_date string, "
+                   "attachments struct<pdfs:array<string>,excels:array<string>,xmls:array<string>,other:array<string>>, "
+                   "groups map<string,array<string>>, blocked boolean, block_reasons array<string>, "
+                   "blocked_msg_copy string, error string")
+METADATA_FIELDS = [f.split()[0] for f in METADATA_SCHEMA.split(", ")]
 
 
-def write_metadata(messages: DataFrame, path: str) -> None:
-    """One JSON record per message."""
-    messages.write.mode("overwrite").json(path)
+def metadata_records(messages: DataFrame, inventory: DataFrame, reasons: DataFrame) -> DataFrame:
+    """The record of each message: ``message_id`` and the fields of ``METADATA_SCHEMA``.
+
+    ``messages`` has the columns of the schema that are one value; ``inventory(message_id, group_name, kind, path)`` its
+    files, ``reasons(message_id, reason)`` why it was held back.  Lists are bounded by one mail and in order.
+    """
+    def paths(kind: str):
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("path")))).alias(kind + ("" if kind == "other" else "s"))
+
+    # a group's files, then a mail's groups
+    grouped = inventory.groupBy("message_id", "group_name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    groups = grouped.groupBy("message_id").agg(F.map_from_entries(
+        F.sort_array(F.collect_list(F.struct("group_name", "paths")))).alias("groups"))
+    files = inventory.groupBy("message_id").agg(*[paths(k) for k in ("pdf", "excel", "xml", "other")]).select(
+        "message_id", F.struct("pdfs", "excels", "xmls", "other").alias("attachments"))
+    held = reasons.groupBy("message_id").agg(F.sort_array(F.collect_list("reason")).alias("block_reasons"))
+    rows = (messages.join(files, "message_id", "left").join(groups, "message_id", "left").join(held, "message_id", "left")
+            .withColumn("blocked", F.col("block_reasons").isNotNull())
+            .withColumn("block_reasons", F.coalesce("block_reasons", F.array().cast("array<string>"))))
+    none = F.lit(None).cast("string")
+    return rows.select("message_id", *[F.col(c) if c in rows.columns else none.alias(c) for c in METADATA_FIELDS])
+
+
+def write_metadata(records: DataFrame, path: str) -> None:
+    """One JSON record per message, a folder per run if there is a column ``run``; a run that is written again replaces
+    its own folder only."""
+    writer = records.write.mode("overwrite")
+    if "run" in records.columns:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("run")
+    writer.json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The records that :func:`write_metadata` left, with all fields of the schema."""
+    return spark.read.schema("message_id string, " + METADATA_SCHEMA + ", run string").json(path)
 
 
 def load_metadata(spark: SparkSession, root: str) -> DataFrame:
