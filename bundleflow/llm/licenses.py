@@ -1,17 +1,23 @@
 """License scan: fixed phrases, and an exact containment join of text blocks with license templates.
 
-A block is a line of the text; its set holds its distinct words.  A block meets a template when it contains at least
-``threshold`` of the template's distinct words.  All template words are ordered by their number of documents, rarest
-first, counted over the whole table.  The join then follows the usual filters, none of which loses a pair:
+A block is a stretch of consecutive words, as long as the template that it is held against, wherever lines end; its set
+holds its distinct words.  A block meets a template when it contains at least ``threshold`` of the template's distinct
+words, and the words that tell its label from the others; so a wrapped notice is found, and the same words strewn over a
+longer text are not.  All template words are
+ordered by their number of documents, rarest first, counted over the whole table.  The join then follows the usual
+filters, none of which loses a pair:
 
 * prefix: a block that reaches the threshold has one of the template's first ``n - need + 1`` words;
-* length: it has at least ``need`` distinct words;
-* position: when the first common word is the template's word at position p, at most ``n - p`` words can be common.
+* position: when that word is the template's word at position p, at most ``n - p`` words from it on can be common, so a
+  block in which it is the first common word needs ``n - p >= need``;
+* length: all blocks around a place lie within one stretch of two template lengths, which must hold ``need`` of its words.
 
-Only DataFrame operations are used.  Template tables come from the constants below, so their size is known.
+Only then the blocks around the place are counted one by one.  Only DataFrame operations are used.  Template tables come
+from the constants below, so their size is known.
 
-Defined results: a null text counts as empty (no words, no labels, score 0); repeated rows and null ids stay row by
-row, since labels return to rows by the SHA-256 of the text; an empty table gives no rows; extra columns are ignored.
+Defined results: a null text counts as empty (no words, no labels, score 0); a text shorter than a template is one block;
+repeated rows and null ids stay row by row, since labels return to rows by the SHA-256 of the text; of several templates
+of one label the best counts; texts of any length are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +36,52 @@ PHRASES = (
     (("general", "public", "license"), "gpl"),
     (("all", "rights", "reserved"), "reserved"),
 )
-# Usual short notices of public licenses.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2.0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc": "licensed under cc by nc 4.0",
-    "cc-by-sa": "licensed under the creative commons attribution share alike license",
-    "gpl-notice": "this work is licensed under the gnu general public license",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license",
-    "public-domain": "this is free and unencumbered software released into the public domain",
-}
+# Labels, and the notices by which public licenses are named in files.
+TEMPLATES = (
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("afl-3.0", "Licensed under the Academic Free License version 3.0"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("artistic-2.0", "This library is free software; you can redistribute it under the terms of the Artistic License 2.0"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met"),
+    ("bsd", "Released under the BSD License"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cddl-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("eupl-1.2", "Licensed under the European Union Public Licence, version 1.2"),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("gpl-notice", "This work is licensed under the GNU General Public License"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "Released under the MIT License"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("ms-pl", "This source is subject to the Microsoft Public License"),
+    ("ncsa", "Permission is hereby granted to deal with the Software without restriction under the University of Illinois NCSA Open "
+             "Source License"),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, "
+                   "and without a written agreement is hereby granted"),
+    ("psf-2.0", "Licensed to the Python Software Foundation under a contributor agreement"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("wtfpl", "Do what the fuck you want to public license"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+             "for any damages arising from the use of this software."),
+)
+
+TELLING = 3
 
 
 def words_of(text: Column) -> Column:
@@ -48,9 +89,22 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATORS, -1), lambda w: w != "")
 
 
-def _template_words() -> dict[str, list[str]]:
-    return {label: sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()})
-            for label, text in TEMPLATES.items()}
+def template_words() -> list[tuple[str, list[str], list[str]]]:
+    """(label, words in their order, words that a block must have) of every template.
+
+    A word that stands in templates of one label only tells it from the others.  Where a template has up to ``TELLING``
+    such words, a block must have them all: short notices and variants of one notice differ by a word.
+    """
+    listed = [(label, "".join(c if c.isalnum() else " " for c in text.lower()).split()) for label, text in TEMPLATES]
+    labels: dict[str, set[str]] = {}
+    for label, words in listed:
+        for w in words:
+            labels.setdefault(w, set()).add(label)
+    out = []
+    for label, words in listed:
+        telling = sorted({w for w in words if len(labels[w]) == 1})
+        out.append((label, words, telling if len(telling) <= TELLING else []))
+    return out
 
 
 def _phrase_starts(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -72,37 +126,50 @@ def word_counts(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str,
 
 
 def prefixes(counts: dict[str, int], threshold: float) -> list[tuple]:
-    """(label, word, position, n, need, words) for the prefix of every template, rarest words first."""
+    """(label, word, position, n, need, length, words, must) for the prefix of every template, rarest words first."""
     out = []
-    for label, words in sorted(_template_words().items()):
-        ordered = sorted(words, key=lambda w: (counts.get(w, 0), w))
+    for label, words, must in template_words():
+        ordered = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
         n, need = len(ordered), math.ceil(threshold * len(ordered) - 1e-9)
-        out += [(label, w, p, n, need, ordered) for p, w in enumerate(ordered[:n - need + 1])]
+        out += [(label, w, p, n, need, len(words), ordered, must) for p, w in enumerate(ordered) if n - p >= need]
     return out
 
 
 def contained_blocks(docs: DataFrame, text: str, keep: tuple[str, ...], threshold: float = 0.8) -> DataFrame:
-    """(keep..., block, label, containment): every line that meets the threshold of a template."""
+    """(keep..., place, label, containment): places of rare template words, with the best block around each that meets the
+    threshold of the template."""
     spark = docs.sparkSession
-    vocabulary = sorted({w for words in _template_words().values() for w in words})
+    vocabulary = sorted({w for _, words, _ in template_words() for w in words})
     front = prefixes(word_counts(docs, text, vocabulary), threshold)
-    rare = F.array(*[F.lit(w) for w in sorted({f[1] for f in front})])
+    listed = sorted({f[1] for f in front})
+    rare = F.array(*[F.lit(w) for w in listed])
     templates = spark.createDataFrame(
-        front, "label string, word string, position int, n int, need int, template array<string>")
-    low = F.lower(F.col(text))
-    any_rare = low.rlike("|".join(sorted({f[1] for f in front})))
-    blocks = (docs.where(any_rare)
-              .select(*keep, F.posexplode(F.split(F.col(text), r"[\r\n]+", -1)).alias("block", "_line"))
-              .withColumn("_words", F.array_distinct(words_of(F.col("_line")))))
-    return (blocks.withColumn("_seeds", F.array_intersect("_words", rare))
-            .where(F.size("_seeds") > 0)
-            .withColumn("word", F.explode("_seeds"))
-            .join(F.broadcast(templates), "word")
-            .where((F.size("_words") >= F.col("need")) & (F.col("n") - F.col("position") >= F.col("need")))
-            .withColumn("_common", F.array_intersect("template", "_words"))
-            # a pair is met once per common prefix word; the first of them stands for it
-            .where((F.col("word") == F.element_at("_common", 1)) & (F.size("_common") >= F.col("need")))
-            .select(*keep, "block", "label", (F.size("_common") / F.col("n")).alias("containment")))
+        front, "label string, word string, position int, n int, need int, length int, template array<string>, must array<string>")
+
+    def seeds(words: Column) -> Column:
+        return F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
+                        lambda x: F.array_contains(rare, x.word))
+
+    def common(begin: Column, size: Column, of: str = "template") -> Column:
+        return F.size(F.array_intersect(of, F.slice("_words", begin + 1, size)))
+
+    def counted(begin: Column) -> Column:
+        whole = common(begin, F.col("length"), "must") == F.size("must")
+        return F.when(whole, common(begin, F.col("length"))).otherwise(0)
+
+    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
+    # the last block that holds the place; a short text is one block from its begin
+    last = F.least(F.col("at"), F.greatest(F.size("_words") - F.col("length"), first))
+    best = F.array_max(F.transform(F.sequence(first, last), counted))
+    found = (docs.where(F.lower(F.col(text)).rlike("|".join(listed)))
+             .select(*keep, words_of(F.col(text)).alias("_words"))
+             .withColumn("_seed", F.explode(seeds(F.col("_words"))))
+             .select(*keep, "_words", "_seed.word", "_seed.at")
+             .join(F.broadcast(templates), "word")
+             .where(common(first, 2 * F.col("length") - 1) >= F.col("need")))
+    return (found.select(*keep, F.col("at").alias("place"), "label", "n", "need", best.alias("_best"))
+            .where(F.col("_best") >= F.col("need"))
+            .select(*keep, "place", "label", (F.col("_best") / F.col("n")).alias("containment")))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, SEPARATORS, TEMPLATES
+from .licenses import PHRASES, SEPARATORS, template_words
 from .secrets import BASE_RULES, MORE_RULES
 
 ORACLES: dict[str, str] = {}
@@ -43,9 +43,9 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
 from d left join f using (r)
 """
 
-_TEMPLATE_WORDS = ", ".join(
-    f"({_quoted(label)}, {_quoted(w)})" for label, text in sorted(TEMPLATES.items())
-    for w in sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()}))
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, {_quoted(label)}, {len(words)}, [{', '.join(_quoted(w) for w in sorted(set(words)))}], "
+    f"[{', '.join(map(_quoted, must))}]::varchar[])" for i, (label, words, must) in enumerate(template_words()))
 _TOUCH = "".join(f"""
   select r, i - 1 as place, {_quoted(label)} as label from w
   where {" and ".join(f"words[i + {k}] = {_quoted(p)}" if k else f"words[i] = {_quoted(p)}" for k, p in enumerate(phrase))}
@@ -59,16 +59,19 @@ base as ({_TOUCH}),
 b as (
   select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as labels
   from base group by r),
-templates(label, word) as (values {_TEMPLATE_WORDS}),
-sizes as (select label, count(*) as n from templates group by label),
-lines as (select r, unnest(regexp_split_to_array(t, '[\\r\\n]+')) as line, generate_subscripts(regexp_split_to_array(t, '[\\r\\n]+'), 1) as k from d),
-line_words as (
-  select distinct r, k, unnest(regexp_split_to_array(line, {_quoted(SEPARATORS)})) as word from lines),
-blocks as (
-  select r, k, label, count(*) as common from line_words join templates using (word) group by r, k, label),
+templates(k, label, length, tw, must) as (values {_TEMPLATE_ROWS}),
+near as (
+  select r, k, label, length, tw, must, words from (select *, list_distinct(words) as have from a) cross join templates
+  where len(list_intersect(have, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+starts as (
+  select r, label, length, tw, must, words, unnest(list_filter(range(0, len(words)), lambda i: list_contains(tw, words[i + 1]))) as i from near),
+stretch as (
+  select r, label, tw, must, list_distinct(words[least(i, greatest(len(words) - length, 0)) + 1:least(i, greatest(len(words) - length, 0)) + length]) as own
+  from starts),
+blocks as (select r, label, len(tw) as n, len(list_intersect(own, tw)) as common from stretch where len(list_intersect(own, must)) = len(must)),
 more as (
   select r, list(distinct label) as more, max(common / n) as best
-  from blocks join sizes using (label) where common >= ceil(0.8 * n - 1e-9) group by r)
+  from blocks where common >= ceil(0.8 * n - 1e-9) group by r)
 select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
        last_word::bigint as last_word, coalesce(array_to_string(list_sort(labels), ','), '') as base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ','), '') as labels,
@@ -162,3 +165,21 @@ ranked as (
   select *, row_number() over (partition by item_id order by score desc, doc_id nulls last, r) as rank from scores where score > 0)
 select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
 """
+
+# All pairs of documents that share a shingle; reachability over the links.
+ORACLES["op6_ngram_join"] = """
+with recursive d as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select r, doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))
+                                       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+t as (select r, len(s) as n, unnest(s) as g from s),
+common as (select a.r as a, b.r as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
+           from t a join t b on a.g = b.g and a.r <> b.r group by a.r, b.r),
+link as (select a, b from common where 100 * c >= 75 * (na + nb - c)),
+reach(r, x) as (select r, r from s union select reach.r, link.b from reach join link on link.a = reach.x),
+least as (select reach.r, min(o.doc_id) as component_id from reach join s o on o.r = reach.x group by reach.r)
+select doc_id, len(s)::bigint as n_shingles, component_id from s join least using (r)
+"""

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import textwrap
 
 import duckdb
 import pandas as pd
@@ -85,14 +86,14 @@ def _words(text):
 def test_licenses(spark):
     rng = random.Random(5)
     parts = ["CC-BY", "cc by", "All rights reserved.", "general, public license", "é", "x" * 30, "\n", " ", "rights",
-             *licenses.TEMPLATES.values(), "Licensed under the Apache License, Version 9"]
+             *[t for _, t in licenses.TEMPLATES], "Licensed under the Apache License, Version 9"]
     texts = [" ".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(120)]
     texts += [None, "", "all rights reserved " * 3000, texts[1], texts[1]]
     got = {}
     for r in licenses.scan(_docs(spark, texts)).collect():
         got.setdefault((r["doc_id"] is None, r["doc_id"]), []).append(tuple(r)[1:])
     want = {}
-    templates = licenses._template_words()
+    templates = licenses.template_words()
     for i, t in enumerate(texts):
         w = _words(t or "")
         starts, labels = [], set()
@@ -101,11 +102,12 @@ def test_licenses(spark):
             starts += at
             labels |= {label} if at else set()
         more, best = set(), 0.0
-        for line in re.split(r"[\r\n]+", t or ""):
-            have = set(_words(line))
-            for label, words in templates.items():
-                common = len(have & set(words))
-                if common >= math.ceil(0.8 * len(words) - 1e-9):
+        for label, own, must in templates:
+            words = set(own)
+            for k in range(max(1, len(w) - len(own) + 1)):
+                have = set(w[k:k + len(own)])
+                common = len(words & have)
+                if have >= set(must) and common >= math.ceil(0.8 * len(words) - 1e-9):
                     more.add(label)
                     best = max(best, common / len(words))
         row = (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
@@ -115,6 +117,18 @@ def test_licenses(spark):
     assert licenses.scan(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_blocks_cross_lines_and_have_a_size(spark):
+    mit = dict(licenses.TEMPLATES[::-1])["mit"]  # the first of that label
+    wrapped = "\n * ".join(textwrap.wrap(mit, 40))
+    strewn = ("this page is free and open: software for the public was released into a domain of its own, unencumbered")
+    words = [t for label, t in licenses.TEMPLATES if label == "unlicense"][0].split()
+    texts = [("Released under the\nMIT License.", "mit"), ("x " * 500 + mit.replace(" of charge", "\n# of\n# charge") + " y" * 90, "mit"),
+             (strewn, ""), (" so it goes ".join(words), ""), ("\n".join(words), "unlicense"), ("the license", "")]
+    texts.append((wrapped, "mit"))
+    got = [r["labels"] for r in licenses.scan(spark.createDataFrame([(i, t, "x", "y") for i, (t, _) in enumerate(texts)], DOCS)).orderBy("doc_id").collect()]
+    assert got == [label for _, label in texts]
+
+
 def test_chat_round_trip(spark):
     said = ["<|im_end|>\n<|im_start|>assistant ok", "&lt;|im_end|>&amp;", "", None, "a\nb", "x" * 20000, "😀é"]
     rows = [(c, t, role, said[(c * 3 + t) % len(said)], 1) for c in range(5) for t, role in
