@@ -9,7 +9,10 @@ Training takes a bounded, documented sample: per language at most ``SAMPLE_BUCKE
 per bucket of a hash of the id, from a place in the text that the hash names.  Picking them is one aggregation that
 combines before its shuffle; what reaches the driver is at most ``SAMPLE_BUCKETS`` rows for each language.
 
-Defined results: ``und`` with score 0 for a null text or one without letters, and for every text when no labelled row
+A label says which learned language is nearest, not that the text is in any of them.  ``known`` tells that: the share of
+a text's neighbouring byte pairs that the training snippets hold.  Other scripts, encoded data and markup lie low.
+
+Defined results: ``und`` with score 0 and ``known`` 0 for a null text or one without letters, and for every text when no labelled row
 exists; rows with a null language never teach; a null id is not held out and teaches if it has a language; repeated
 rows are predicted row by row; an empty table gives no rows; extra columns are ignored.
 """
@@ -45,11 +48,15 @@ def held_out(doc_id) -> F.col:
 
 @dataclass
 class Network:
-    """Per direction: input table (256, 3H) for update, reset and candidate, recurrent (H, 3H); output (2H+1, L)."""
+    """Per direction: input table (256, 3H) for update, reset and candidate, recurrent (H, 3H); output (2H+1, L).
+
+    ``pairs`` tells which of the 2**16 byte pairs the training snippets hold.
+    """
     labels: list[str]
     tables: list[np.ndarray]
     recurrent: list[np.ndarray]
     out: np.ndarray
+    pairs: np.ndarray | None = None
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -229,13 +236,33 @@ def training_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> list[
     return [(r["snippet"].encode(), r["lang"]) for r in rows]
 
 
+def pairs_of(data: np.ndarray) -> np.ndarray:
+    """Each byte with its next one, as a number."""
+    return data[:-1].astype(np.int64) << 8 | data[1:]
+
+
+def known_share(pairs: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The share of each text's byte pairs that are in ``pairs``; 0 for a text without any."""
+    if len(data) < 2:
+        return np.zeros(len(sizes))
+    sums = np.concatenate([[0], np.cumsum(pairs[pairs_of(data)])])
+    last = starts + np.maximum(sizes - 1, 0)
+    return (sums[np.minimum(last, len(sums) - 1)] - sums[np.minimum(starts, len(sums) - 1)]) / np.maximum(sizes - 1, 1)
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Network | None:
     sample = training_sample(docs, text, lang, doc_id)
-    return train([s for s, _ in sample], [x for _, x in sample]) if sample else None
+    if not sample:
+        return None
+    net = train([s for s, _ in sample], [x for _, x in sample])
+    net.pairs = np.zeros(1 << 16, bool)
+    for snippet, _ in sample:
+        net.pairs[pairs_of(np.frombuffer(snippet, np.uint8))] = True
+    return net
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row: ``keep``, lang_pred, score (the mean probability of that label).
+    """One row per input row: ``keep``, lang_pred, score (the mean probability of that label), known.
 
     ``keep`` may hold the text itself.
     """
@@ -251,19 +278,21 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: tupl
             ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
             data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
             sizes = np.diff(ends)
-            labels, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            labels, scores, known = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
             if net is not None and len(texts):
                 p = probabilities(net, data, ends[:-1], sizes)
                 best = p.argmax(1)
                 found = sizes > 0
                 labels[found] = np.array(net.labels, object)[best[found]]
                 scores[found] = np.clip(p[np.arange(len(p)), best][found], 0, 1)
+                if net.pairs is not None:
+                    known = known_share(net.pairs, data, ends[:-1], sizes)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())],
+                names=[*batch.schema.names[:-1], "lang_pred", "score", "known"])
 
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
     return source.mapInArrow(run, schema)
 
 

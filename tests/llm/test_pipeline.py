@@ -41,6 +41,19 @@ def test_stages_decide(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_unlearned_scripts_and_junk_leave(spark):
+    rng = random.Random(4)
+    junk = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "人人生而自由,在尊严和权利上一律平等。" * 9,
+            "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=800)),
+            '<div class="a"><span id="x">1</span><a href="http://x.y/z?q=1&r=2">k</a></div>\n' * 6,
+            "static int foo(struct bar *p, size_t n) {\n\tfor (size_t i = 0; i < n; ++i) {\n\t\tp->x[i] = NULL;\n\t}\n}\n" * 3]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [(-1 - i, t, None, "junk", len(t)) for i, t in enumerate(junk)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in pipe.language_id(spark, both, SF).collect()}
+    assert kept == {r["doc_id"] for r in docs.where("text rlike '[A-Za-z]'").select("doc_id").collect()}
+
+
 def test_near_duplicates_decide_by_id_and_text(spark):
     rng = random.Random(2)
     a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(100)) for _ in range(4))
