@@ -18,16 +18,22 @@ from bundleflow.session import ship
 
 #: A document is rejected where the network tells its language by less than this many times chance.
 LEAST_OVER_CHANCE = 1.2
+#: ... and where fewer of its neighbouring byte pairs occur in the training snippets.  Measured on 10,000 documents with the
+#: four languages given: the least share is 0.85 (a text that is mostly a token), 0.1 % lie under 0.95; Cyrillic, Greek and
+#: Chinese have 0.01 to 0.03, base64 0.21, markup 0.33, JSON 0.47, C code 0.53, random letters 0.58, Polish 0.74.
+LEAST_KNOWN = 0.75
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised: not ``und``, and with a score clearly above chance."""
+    """Keeps documents whose language is recognised: not ``und``, a score clearly above chance, and byte pairs as the
+    learned languages have them."""
     ship(spark)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no clash with the columns added
     net = langid.fit(docs)
     judged = langid.predict(docs.select(row, "text"), net, keep=("row",))
     least = min(1.0, LEAST_OVER_CHANCE / len(net.labels)) if net else 1.0
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)
+                        & (F.col("known") >= LEAST_KNOWN)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
