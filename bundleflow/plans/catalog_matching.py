@@ -224,8 +224,8 @@ _VN_LIST = """SELECT CAST(s_suppkey AS BIGINT) AS ord, CAST(1000 + s_suppkey AS
   concat(CASE s_suppkey % 3 WHEN 0 THEN 'Công ty Điện ' WHEN 1 THEN 'Electric Company ' ELSE 'Power Branch ' END,
          n_name, CASE WHEN s_suppkey % 2 = 0 THEN ' Ltd' ELSE '' END) AS supplier_name,
   CAST(NULL AS STRING) AS alt_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
-_VN_TR = """SELECT concat('Công ty Điện ', n_name, f.suffix) AS src, concat('Electric Company ', n_name, f.suffix) AS dst
-FROM {nation} JOIN (SELECT ' Ltd' AS suffix, 0 AS k UNION ALL SELECT '', 0) f ON f.k = n_nationkey % 1"""
+_VN_TR = """SELECT concat('Công ty Điện ', n_name, ' Ltd') AS src, concat('Electric Company ', n_name, ' Ltd') AS dst FROM {nation}
+UNION ALL SELECT concat('Công ty Điện ', n_name), concat('Electric Company ', n_name) FROM {nation}"""
 _VN_READ = """SELECT c_custkey, concat(CASE c_custkey % 4 WHEN 0 THEN 'Công ty Điện ' WHEN 1 THEN 'electric company '
     WHEN 2 THEN 'Branch of Power ' ELSE 'Điện ' END, n_name, CASE WHEN c_custkey % 5 = 0 THEN ' Ltd' ELSE '' END) AS name
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""

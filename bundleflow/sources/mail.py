@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.naming import unique_names
 from ..operators.ordering import dense_positions
 from . import archives
 
@@ -101,12 +100,6 @@ def attachments(parsed: DataFrame) -> DataFrame:
                 "file_name", F.concat(F.lit("attachment_"), F.col("att_ord").cast("string")))))
 
 
-def folder_names(parsed: DataFrame, ord_col: str) -> DataFrame:
-    """Output folder of each message, unique within a run in ``ord_col`` order."""
-    return unique_names(parsed.withColumn("_run", F.lit("")), "_run", "folder_stem", ord_col,
-                        "folder_name").drop("_run")
-
-
 def run_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``messages, attachments, members`` as a run takes them, from :func:`parse_eml`.
 

@@ -49,7 +49,3 @@ def vn_sheet(df: DataFrame, ord_col: str) -> DataFrame:
     alt = (lambda c: c == rest[0]) if rest else (lambda c: False)
     return resolve_columns(df, VN_COLUMNS, {"alt_name": alt}, keep=(ord_col,))
 
-
-def read_sheet(spark, path: str, fmt: str = "csv") -> DataFrame:
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return reader.format(fmt).load(path)
