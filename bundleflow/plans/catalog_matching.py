@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fuzzy
 from ..functions import lexicon as lx
 from ..functions import text
 from ..operators import match, reference, routing, tagging
@@ -316,6 +317,23 @@ def tag_messages(sql):
         tagging.is_direct_debit(F.lit(None).cast("string"), "text").alias("debit"))
 
 
+# ============================================================ SQL functions ====
+_PAIRED = """SELECT DISTINCT lower(concat(n_name, ' ', CAST(s_suppkey % 7 AS STRING), ' trading')) AS a,
+  lower(concat('trade ', substring(n_name, 1, 6), ' ', CAST(s_suppkey % 5 AS STRING))) AS b
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"""
+
+
+@query(O.ctes(two=P.ansi(_PAIRED), **O.ratio_scores("two"), **O.token_sort_scores("two"), **O.partial_scores("two"),
+              **O.token_set_scores("two")) + """
+SELECT a, b, round(rs.score, 6) AS ratio, round(ts.score, 6) AS token_sort, round(ps.score, 6) AS partial, round(tt.score, 6) AS token_set
+FROM rs JOIN ts USING (a, b) JOIN ps USING (a, b) JOIN tt USING (a, b)""")
+def sql_functions(sql):
+    """The scores as functions of SQL."""
+    fuzzy.register(sql.spark)
+    return sql.spark.sql("""SELECT a, b, round(fuzzy_ratio(a, b), 6) AS ratio, round(fuzzy_token_sort(a, b), 6) AS token_sort,
+      round(fuzzy_partial(a, b), 6) AS partial, round(fuzzy_token_set(a, b), 6) AS token_set FROM {two}""", two=sql(_PAIRED))
+
+
 # ================================================================ routing ====
 _SITES = """SELECT o_orderkey AS doc_id, CASE o_custkey % 6 WHEN 0 THEN n_name WHEN 1 THEN concat(' ', lower(n_name), ' ')
     WHEN 2 THEN concat(r_name, '/', n_name) WHEN 3 THEN concat('Site ', n_name, ' West') WHEN 4 THEN substring(n_name, 3, 5)

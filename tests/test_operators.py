@@ -370,6 +370,28 @@ def test_segmentation_sorts_and_shuffles_pages_once(spark):
     assert _plan(segment.segment(pages, blocks=False)).count("Exchange hashpartitioning") == 2
 
 
+def test_short_bundles_are_read_and_exchanged_once(spark, tmp_path):
+    from bundleflow.operators import segment
+    from bundleflow.plans.catalog_pages import _by_equality
+    columns = "pdf_id long, page_idx int, read_ok boolean, supplier_name_on_page string, invoice_number string"
+    spark.createDataFrame([(d, p, True, "a", str(p // 2)) for d in range(9) for p in range(5)], columns).write.parquet(str(tmp_path / "p"))
+    pages = segment.clean_signals(spark.read.parquet(str(tmp_path / "p")))
+    plan = _plan(segment.by_length(pages, _by_equality))
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+    far = pages.unionByName(pages.limit(1).withColumn("page_idx", F.lit(segment.PAGES_PER_BLOCK)))
+    assert segment.by_length(far, _by_equality).count() == 46
+
+
+def test_names_of_a_large_family(spark):
+    """Many arrivals of one stem and many stems that are its numbered forms, in mixed order."""
+    r = random.Random(8)
+    stems = ["a"] * 3000 + [f"a_{k}" for k in range(2, 2500)] * 1 + ["a_7"] * 50 + ["a_7_3"] * 4
+    r.shuffle(stems)
+    rows = [("d", s, i) for i, s in enumerate(stems)]
+    out = naming.unique_names(spark.createDataFrame(rows, "d string, s string, o long").repartition(9), "d", "s", "o", "name")
+    assert {x["o"]: x["name"] for x in out.collect()} == dict(enumerate(numbered(stems)))
+
+
 def test_fields_and_segments_share_one_exchange(spark):
     from bundleflow.operators import fields
     from bundleflow.plans.catalog_pages import _by_equality

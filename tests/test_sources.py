@@ -222,3 +222,20 @@ def test_integers_beyond_64_bits_are_numbers(spark):
     df = spark.createDataFrame(rows, "pdf_id long, page_idx int, raw_text string")
     got = {r["pdf_id"]: (r["read_ok"], r["invoice_number"]) for r in responses.parse_signals(df).collect()}
     assert got == {1: (True, "123456789012345678901"), 2: (False, None)}
+
+
+def test_responses_are_typed_once(spark):
+    rows = [(1, '{"po_numbers": ["3500000001", null]}'), (2, '{"po_numbers": [1]}'), (3, '{"x": {"po_numbers": [1]}, "bill_to_client_name": "A"}'),
+            (4, '{"po_numbers": null}'), (5, '{"bill_to_client_name": true, "po_numbers": []}'), (6, '{"po_numbers": [], "bill_to_client_name": "\\ud800"}'),
+            (7, '{"po_numbers": []} {"a": 1}'), (8, None), (9, "[1]")]
+    df = spark.createDataFrame([(i, 0, t) for i, t in rows], "pdf_id long, page_idx int, raw_text string")
+    got = {r["pdf_id"]: (r["read_ok"], r["bill_to"], r["po_numbers"]) for r in responses.parse_fields(df).collect()}
+    assert got[1] == (True, None, ["3500000001"]) and got[3] == (True, "A", []) and got[7] == (True, None, []) and got[6][0]
+    assert [k for k, v in got.items() if not v[0]] == [2, 4, 5, 8, 9]
+    signals = [(1, '{"supplier_name_on_page": "x", "invoice_number": true}'), (2, '{"supplier_name_on_page": "x", "invoice_number": 1.0}'),
+               (3, '{"supplier_name_on_page": "x", "invoice_number": 123456789012345678901234567890}'), (4, '{"supplier_name_on_page": 1}')]
+    df = spark.createDataFrame([(i, 0, t) for i, t in signals], "pdf_id long, page_idx int, raw_text string")
+    got = {r["pdf_id"]: (r["read_ok"], r["invoice_number"]) for r in responses.parse_signals(df).collect()}
+    assert got == {1: (False, None), 2: (False, None), 3: (True, "123456789012345678901234567890"), 4: (False, None)}
+    picked = spark.createDataFrame([('{"a": 1} {"b": "é"}',), ("none",)], "t string").select(responses.pick_json("a")(F.col("t")).alias("t"))
+    assert [r["t"] for r in picked.collect()] == ['{"a": 1}', None]
