@@ -141,14 +141,15 @@ def contained_blocks(docs: DataFrame, text: str, keep: tuple[str, ...], threshol
     spark = docs.sparkSession
     vocabulary = sorted({w for _, words, _ in template_words() for w in words})
     front = prefixes(word_counts(docs, text, vocabulary), threshold)
-    listed = sorted({f[1] for f in front})
-    rare = F.array(*[F.lit(w) for w in listed])
+    rare = F.array(*[F.lit(w) for w in sorted({f[1] for f in front})])
     templates = spark.createDataFrame(
         front, "label string, word string, position int, n int, need int, length int, template array<string>, must array<string>")
 
     def seeds(words: Column) -> Column:
-        return F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
-                        lambda x: F.array_contains(rare, x.word))
+        # most texts have none of the rare words: two hash lookups a word tell, and only the others are walked
+        return let(F.array_intersect(words, rare), lambda own: F.when(F.size(own) > 0, F.filter(
+            F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
+            lambda x: F.array_contains(own, x.word))))
 
     def common(begin: Column, size: Column, of: str = "template") -> Column:
         return F.size(F.array_intersect(of, F.slice("_words", begin + 1, size)))
@@ -161,9 +162,9 @@ def contained_blocks(docs: DataFrame, text: str, keep: tuple[str, ...], threshol
     # the last block that holds the place; a short text is one block from its begin
     last = F.least(F.col("at"), F.greatest(F.size("_words") - F.col("length"), first))
     best = F.array_max(F.transform(F.sequence(first, last), counted))
-    found = (docs.where(F.lower(F.col(text)).rlike("|".join(listed)))
-             .select(*keep, words_of(F.col(text)).alias("_words"))
-             .withColumn("_seed", F.explode(seeds(F.col("_words"))))
+    read = docs.select(*keep, let(words_of(F.col(text)), lambda w: F.struct(
+        w.alias("words"), seeds(w).alias("seeds"))).alias("_read"))
+    found = (read.select(*keep, F.col("_read.words").alias("_words"), F.explode("_read.seeds").alias("_seed"))
              .select(*keep, "_words", "_seed.word", "_seed.at")
              .join(F.broadcast(templates), "word")
              .where(common(first, 2 * F.col("length") - 1) >= F.col("need")))
