@@ -1,8 +1,9 @@
 """Nearest neighbours by a hash-prefix forest.
 
-The corpus is dealt by a hash of its ids into shards of about ``SHARD_ROWS`` vectors, the queries into blocks of about
-``QUERY_ROWS``; each (shard, block) pair is one task's work, so a stated query set meets all rows in blocks and no task
-grows with the table.  Inside a shard every vector is indexed, in ``TREES`` trees.  A tree is a sorted array of
+The corpus is dealt by a hash of its ids into shards of about ``SHARD_ROWS`` vectors.  A shard's rows reach one task in
+order: first its vectors, which become the forest, then the queries, which are streamed past it ``QUERY_ROWS`` at a time.
+So the corpus is exchanged once, a forest is built once, a stated query set meets all rows in blocks, and no task grows
+with the table.  Inside a shard every vector is indexed, in ``TREES`` trees.  A tree is a sorted array of
 ``BITS``-bit hash strings, one bit per random hyperplane.  A query descends each tree to its longest prefix matches,
 then ascends in all trees at once: at depth d its candidates share the first d bits with it in some tree.
 
@@ -21,6 +22,7 @@ compared; an empty table gives no rows; ties go to the smaller id; extra columns
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 16384
+LEAST_ROWS = 2048  # of a shard that only gives another task something to do
 QUERY_ROWS = 1024
 TREES = 48
 BITS = 32
@@ -125,30 +128,40 @@ class Forest:
 SCHEMA = "query_id long, vec_id long, score double"
 
 
-def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.take(pa.array(rows))
-    return np.asarray(flat.flatten()).reshape(len(rows), -1)
-
-
-def _block(table: pa.Table, k: int, miss: float, trees: int) -> pa.Table:
-    ids, is_query = np.asarray(table["vec_id"]), np.asarray(table["is_query"])
-    dims = np.asarray(table["dim"])
-    queries, vec_ids, scores = [], [], []
-    for dim in np.unique(dims):
-        own, asked = np.flatnonzero((dims == dim) & ~is_query), np.flatnonzero((dims == dim) & is_query)
-        if not len(own) or not len(asked):
-            continue
-        order = own[np.argsort(ids[own])]
-        vectors, wanted = _matrix(table["vector"], order), _matrix(table["vector"], asked)
-        forest = Forest(vectors, trees)
-        for i, (found, score) in enumerate(forest.search(wanted, ids[order], ids[asked], k, miss)):
-            queries.append(np.full(len(found), ids[asked[i]]))
-            vec_ids.append(ids[order][found])
-            scores.append(score)
-    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-    return pa.table({"query_id": join(queries, np.int64), "vec_id": join(vec_ids, np.int64),
-                     "score": join(scores, np.float64)})
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _walk(k: int, miss: float, trees: int, query_rows: int):
+    """Rows sorted by (shard, dim, is_query, vec_id): each shard's vectors, then the queries that meet them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, forest, own = None, [], None, None
+        for batch in batches:
+            place = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+            ids = batch.column(3).to_numpy()
+            cut = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True):
+                if a == b:
+                    continue
+                if (shard := tuple(place[a, :2].tolist())) != here:
+                    here, held, forest = shard, [], None
+                if not place[a, 2]:
+                    held.append((ids[a:b], _matrix(batch.column(4).slice(a, b - a))))
+                    continue
+                if forest is None:
+                    if not held:  # no vector of this length here
+                        continue
+                    own = np.concatenate([x for x, _ in held])
+                    forest = Forest(np.concatenate([x for _, x in held]), trees)
+                    held = []
+                for c in range(a, b, query_rows):
+                    d = min(b, c + query_rows)
+                    found = forest.search(_matrix(batch.column(4).slice(c, d - c)), own, ids[c:d], k, miss)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids[c:d], [len(x) for x, _ in found])),
+                         pa.array(np.concatenate([own[x] for x, _ in found])), pa.array(np.concatenate([y for _, y in found]))],
+                        names=["query_id", "vec_id", "score"])
+    return run
 
 
 def nearest(embeddings: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding",
@@ -159,22 +172,17 @@ def nearest(embeddings: DataFrame, is_query: Column, vec_id: str = "vec_id", vec
             .select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
             .groupBy("vec_id").agg(F.min("vector").alias("vector"))
             .withColumn("dim", F.size("vector")))
-    total, asked = embeddings.agg(F.count(vec_id), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // query_rows))
-    mark = F.xxhash64("vec_id")
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    corpus = (rows.withColumn("shard", F.pmod(mark, F.lit(shards).cast("long")))
-              .withColumn("block", each(blocks))
-              .withColumn("is_query", F.lit(False)))
-    queries = (rows.where(is_query).withColumn("shard", each(shards))
-               .withColumn("block", F.pmod(F.shiftrightunsigned(mark, 8), F.lit(blocks).cast("long")))
-               .withColumn("is_query", F.lit(True)))
-    cells = corpus.unionByName(queries.select(corpus.columns))
-    found = cells.groupBy("shard", "block").applyInArrow(
-        lambda table: _block(table, k, miss, trees), SCHEMA)
+    total = embeddings.agg(F.count(vec_id)).first()[0]
+    tasks = embeddings.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-total // shard_rows), min(tasks, total // LEAST_ROWS))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards).cast("long"))
+    corpus = rows.withColumn("shard", shard).withColumn("is_query", F.lit(False))
+    queries = (rows.where(is_query).withColumn("is_query", F.lit(True))
+               .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))))
+    columns = ["shard", "dim", "is_query", "vec_id", "vector"]
+    found = (corpus.select(columns).unionByName(queries.select(columns))
+             .repartition(shards, "shard").sortWithinPartitions(*columns[:4])
+             .mapInArrow(_walk(k, miss, trees, query_rows), SCHEMA))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (found.withColumn("rank", place).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
