@@ -386,6 +386,22 @@ def test_language_network_learns_and_reads_whole_texts(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_known_share_counts_byte_pairs(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcé", k=rng.choice([0, 1, 2, 30, 200]))).encode() for _ in range(60)]
+    pairs = np.zeros(1 << 16, bool)
+    seen = {p for t in texts[::3] for p in zip(t, t[1:], strict=False)}
+    for a, b in seen:
+        pairs[a << 8 | b] = True
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes + 3
+    data = np.frombuffer(b"xyz" + b"".join(texts) + b"!", np.uint8)
+    want = [sum(p in seen for p in zip(t, t[1:], strict=False)) / max(1, len(t) - 1) for t in texts]
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(langid, "PAIRS_AT_ONCE", size)
+        assert np.allclose(langid.known_share(pairs, data, starts, sizes), want)
+
+
 def test_gradients_and_segments():
     rng = np.random.default_rng(2)
     table, recurrent = rng.normal(size=(256, 24)), rng.normal(size=(8, 24)) * 0.3
