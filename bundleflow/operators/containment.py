@@ -5,8 +5,9 @@ lengths that the folder's numbers have meet a hashed set.  *Text in number*: a t
 suffixes, so it is a stretch of the sorted suffixes.  Work per text follows from its length, the lengths and the hits,
 and not from how many numbers there are.
 
-Folders are dealt to groups by a hash; the texts of a folder with more than ``TEXTS`` are split over several groups, each
-of which has the folder's numbers.
+That is for folders with more than ``FEW`` numbers or ``TEXTS`` texts.  They are dealt to groups by a hash; the texts of a
+folder with more than ``TEXTS`` are split over several groups, each of which has the folder's numbers.  In any other folder
+each text meets the few numbers by a join on the folder.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scale import cut_lineage
+
 TEXTS = 1 << 16  # of one group
+FEW = 8          # numbers of a folder that every text may meet
 _AFTER = "~"     # sorts behind letters and digits
 
 
@@ -79,6 +83,25 @@ def hits(texts: DataFrame, numbers: DataFrame, at_once: int = TEXTS) -> DataFram
     ``texts(folder, sheet_idx, sheet_name, norm, runs)``: letters and digits of a cell, and its digit runs;
     ``numbers(folder, digits, norm)``: distinct, one of the two null.
     """
+    texts, numbers = cut_lineage(texts), cut_lineage(numbers)
+    many = cut_lineage(texts.groupBy("folder").count().where(F.col("count") > at_once).select("folder").unionByName(
+        numbers.groupBy("folder").count().where(F.col("count") > FEW).select("folder")).distinct())
+    if many.isEmpty():
+        return _met(texts, numbers).distinct()
+    small = _met(*(df.join(many, "folder", "left_anti") for df in (texts, numbers)))
+    return small.unionByName(_looked_up(*(df.join(many, "folder", "left_semi") for df in (texts, numbers)), at_once)).distinct()
+
+
+def _met(texts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The same for folders with few numbers."""
+    text, wanted = F.col("norm"), F.col("_wanted")
+    fits = F.array_contains("runs", F.col("digits")) | F.contains(text, wanted) | F.contains(wanted, text)
+    return (texts.join(numbers.withColumnRenamed("norm", "_wanted"), "folder").where(fits)
+            .select("folder", "sheet_idx", "sheet_name", "digits", wanted.alias("norm")))
+
+
+def _looked_up(texts: DataFrame, numbers: DataFrame, at_once: int) -> DataFrame:
+    """The same for folders with any number of texts and numbers."""
     zero = F.lit(0).cast("long")
     total = texts.count()
     groups = max(-(-total // at_once), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -91,4 +114,4 @@ def hits(texts: DataFrame, numbers: DataFrame, at_once: int = TEXTS) -> DataFram
     right = (numbers.join(large, "folder", "left").withColumn("part", F.explode(F.sequence(zero, parts - 1)))
              .select(group, "folder", "digits", "norm"))
     return left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(
-        _hits, "folder string, sheet_idx int, sheet_name string, digits string, norm string").distinct()
+        _hits, "folder string, sheet_idx int, sheet_name string, digits string, norm string")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import containment
+from .scale import cut_lineage
 
 
 def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> DataFrame:
@@ -22,12 +23,13 @@ def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> D
     ``workbooks(folder, workbook)`` the spreadsheets beside it; only a folder with
     exactly one is searched.  The last matching sheet wins.
     """
-    single = (workbooks.where(~F.startswith(text.base_name("workbook"), F.lit("~$")))
-              .groupBy("folder").agg(F.count(F.lit(1)).alias("n_books"), F.min("workbook").alias("workbook")))
+    # read by several steps, as the numbers are
+    single = cut_lineage(workbooks.where(~F.startswith(text.base_name("workbook"), F.lit("~$")))
+                         .groupBy("folder").agg(F.count(F.lit(1)).alias("n_books"), F.min("workbook").alias("workbook")))
     digits, norm = F.col("digits"), F.col("norm")
-    wanted = (targets.select("pdf_id", "folder", text.pure_digit_key("invoice_number").alias("digits"),
-                             text.ascii_alnum("invoice_number").alias("norm"))
-              .withColumn("norm", F.when(digits.isNull() & (norm != ""), norm)))
+    wanted = cut_lineage(targets.select("pdf_id", "folder", text.pure_digit_key("invoice_number").alias("digits"),
+                                        text.ascii_alnum("invoice_number").alias("norm"))
+                         .withColumn("norm", F.when(digits.isNull() & (norm != ""), norm)))
 
     numbers = wanted.select("folder", digits, norm).where(digits.isNotNull() | norm.isNotNull()).distinct()
     open_ = single.where(F.col("n_books") == 1).select("folder", F.col("workbook").alias("_book"))
@@ -44,7 +46,7 @@ def sheet_match(targets: DataFrame, cells: DataFrame, workbooks: DataFrame) -> D
     alike = [wanted[c].eqNullSafe(found[c]) for c in ("digits", "norm")]
     best = (wanted.join(found, [wanted["folder"] == found["folder"], *alike])
             .select("pdf_id", "sheet_name", "n_candidates"))
-    out = targets.select("pdf_id", "folder").join(single, "folder", "left").join(best, "pdf_id", "left")
+    out = wanted.select("pdf_id", "folder").join(single, "folder", "left").join(best, "pdf_id", "left")
     n = F.coalesce("n_books", F.lit(0))
     return out.select(
         "pdf_id", "folder", F.when(n == 1, F.col("workbook")).alias("workbook"), "sheet_name",
