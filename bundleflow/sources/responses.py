@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text
+from ..operators.scale import cut_lineage
 
 
 def _objects(s: str):
@@ -33,9 +34,11 @@ def _picked(raw: str | None, required: str) -> dict | None:
     """The last object with the required key, else the last object."""
     if not raw:
         return None
-    t = re.sub(r"<think>.*?</think>", "", raw, flags=re.DOTALL)
+    t = re.sub(r"<think>.*?</think>", "", raw, flags=re.DOTALL) if "<think>" in raw else raw
+    if "`" in t:
+        t = re.sub(r"```(?:json)?", "", t).replace("`", "")
     last = keyed = None
-    for o in _objects(re.sub(r"```(?:json)?", "", t).replace("`", "")):
+    for o in _objects(t):
         last = o
         if required in o:
             keyed = o
@@ -108,7 +111,7 @@ def page_readings(pages: DataFrame, signal_responses: DataFrame, field_responses
 
     A page has one response of each kind at most; without one it is a failed page.
     """
-    wanted = pages.select("pdf_id", "page_idx").distinct()
+    wanted = cut_lineage(pages.select("pdf_id", "page_idx").distinct())  # met by both kinds
 
     def of_all(parsed: DataFrame) -> DataFrame:
         return (wanted.join(parsed, ["pdf_id", "page_idx"], "left")
