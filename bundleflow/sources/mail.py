@@ -77,8 +77,12 @@ def read_mail_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_eml(files: DataFrame) -> DataFrame:
-    """One row per file with headers, plain body and an attachment array."""
-    parsed = files.select("path", "content").mapInArrow(_parse, _PARSED)
+    """One row per file with headers, plain body and an attachment array.
+
+    Mails are dealt to tasks by their number: parsing takes far longer than reading, and many mails may lie in one split.
+    """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = files.select("path", "content").repartition(tasks).mapInArrow(_parse, _PARSED)
     received = text.date_to_iso("date")
     return parsed.select(
         F.col("path").alias("message_id"), text.base_name("path").alias("file_name"),
