@@ -16,8 +16,9 @@ How pairs are found without comparing all of them, and without losing one:
   linear in its members.  From here on a unit of the matrix is such a component, or the unlinked rest of a group: pairs
   inside a unit are connected or compared already, and a token of a thousand near copies meets one unit, not their parts.
 * For q and a member d, overlap <= common prefix tokens + tokens behind a prefix.  With the number of q's prefix tokens
-  in the union of a unit and the sizes in it this bounds the overlap with any of its members.  Two units meet only
-  if some class of either passes this bound against the other, and only those that pass are compared.
+  in the union of a unit and the sizes in it this bounds the overlap with any of its members.  Of two units only the
+  classes of the one with fewer are tested against the other, so a token of a large component and many small units costs
+  the members of the small ones; those that pass are compared with the members of the larger unit.
 * Opened units test the same with full unions, then exact intersections.
 
 A query links to one member of each component it reaches, so no task emits all pairs of a group.  Components follow from
@@ -79,7 +80,7 @@ def _survey(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
                  none, none], schema=schema)
         mean = counts.sum(dtype=np.int64) / len(counts)
-        often = np.flatnonzero(counts > mean + 4 * math.sqrt(mean) + 4)
+        often = np.flatnonzero(counts > mean + 4 * math.sqrt(mean) + 1)  # in a small task two may be many
         if len(often):
             none = pa.nulls(len(often), pa.int64())
             yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(often), pa.array(counts[often].astype(np.int64))],
@@ -227,11 +228,13 @@ def own_members(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def reach(shared: DataFrame, units: DataFrame) -> DataFrame:
-    """(sid, unit, other): the other units that a class of ``unit`` may reach."""
-    member = shared.join(units.select("sid", "n", "unit"), "sid")
-    matrix = (member.groupBy("token", "unit").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-              .withColumnRenamed("unit", "other"))
-    met = (member.join(matrix, "token").where("unit != other").where(_FITS).groupBy("sid", "n", "unit", "other")
+    """(sid, unit, other): the larger units (of equal ones those named later) that a class of ``unit`` may reach."""
+    sizes = units.groupBy("unit").agg(F.count("*").alias("size"))
+    member = shared.join(units.join(sizes, "unit").select("sid", "n", "unit", "size"), "sid")
+    matrix = (member.groupBy("token", F.col("unit").alias("other"), F.col("size").alias("other_size"))
+              .agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    met = (member.join(matrix, "token").where("size < other_size or size = other_size and unit < other").where(_FITS)
+           .groupBy("sid", "n", "unit", "other")
            .agg(F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")))
     return _bounded(met).select("sid", "unit", "other")
 
@@ -239,10 +242,8 @@ def reach(shared: DataFrame, units: DataFrame) -> DataFrame:
 def roles_of(reached: DataFrame, units: DataFrame) -> DataFrame:
     """(sid, gid, comp, is_query): who is compared where.  A unit's members are dealt to parts of ``GROUP``, its queries
     to parts of ``QUERIES_AT_ONCE``; each pair of parts is a ``gid``."""
-    back = reached.select(F.col("other").alias("unit"), F.col("unit").alias("other")).distinct()
-    both = reached.join(back, ["unit", "other"], "left_semi")
-    queries = both.where("unit < other").select("sid", F.col("other").alias("unit"))
-    members = both.where("unit > other").select("sid", "unit").distinct()
+    queries = reached.select("sid", F.col("other").alias("unit"))
+    members = units.select("sid", "unit").join(queries.select("unit").distinct(), "unit", "left_semi")
 
     def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
         return rows.groupBy("unit").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
