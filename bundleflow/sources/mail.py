@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email.policy
 from email.parser import BytesParser
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,20 @@ _PARSED = ("path string, subject string, sender string, date string, body string
 _FLUSH_BYTES = 16 << 20  # bytes of mail per output batch
 
 
+# parsed headers are never changed, so one that is asked for again (a part's are, about ten times) need not be parsed again
+_header = lru_cache(maxsize=1 << 10)(email.policy.default.header_fetch_parse)
+
+
+class _ParsedOnce(email.policy.EmailPolicy):
+    """The default policy, which parses a header whenever it is asked for, with the last ones kept."""
+
+    def header_fetch_parse(self, name, value):
+        return value if hasattr(value, "name") else _header(name, value)
+
+
+_POLICY = _ParsedOnce()
+
+
 def _content(part) -> str:
     try:
         return part.get_content()
@@ -30,7 +45,7 @@ def _content(part) -> str:
 def _read_one(path: str, raw: bytes) -> dict:
     row = {"path": path, "subject": "", "sender": "", "date": "", "body": "", "error": None, "attachments": []}
     try:
-        msg = BytesParser(policy=email.policy.default).parsebytes(raw)
+        msg = BytesParser(policy=_POLICY).parsebytes(raw)
         row.update(subject=str(msg.get("subject", "") or ""), sender=str(msg.get("from", "") or ""),
                    date=str(msg.get("date", "") or ""))
         body = msg.get_body(preferencelist=("plain",))
