@@ -62,11 +62,12 @@ def test_parts_of_a_stage_are_counted_together(spark):
 def test_runs_of_pages_are_exchanged_before_they_stand_in_lists(spark):
     rows = [("a", i, 1, "main" if i < 5 else "support", i % 4 == 0) for i in range(9)]
     roles = spark.createDataFrame(rows, "pdf_id string, page_idx int, invoice_index int, role string, is_unknown boolean")
-    plan = segment.page_runs(roles)._jdf.queryExecution().executedPlan().toString()
+    plan = segment.page_runs(roles, stored=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
-    got = segment.page_runs(roles).first()
-    assert [[tuple(x) for x in got[f"{k}_runs"]] for k in ("main", "support", "all", "unknown")] == [
-        [(1, 5)], [(6, 9)], [(1, 9)], [(1, 1), (5, 5), (9, 9)]]
+    for stored in (True, False):
+        got = segment.page_runs(roles, stored=stored).first()
+        assert [[tuple(x) for x in got[f"{k}_runs"]] for k in ("main", "support", "all", "unknown")] == [
+            [(1, 5)], [(6, 9)], [(1, 9)], [(1, 1), (5, 5), (9, 9)]]
 
 
 def _run(spark):
